@@ -221,12 +221,12 @@ def pieces(docs: DataFrame, tokenizer: str, separator: int, capacity: int) -> Da
         part, enc, seen = TaskContext.get().partitionId(), encoder(tokenizer), [0] * (capacity + 1)
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(enc.ids(text.as_py()) + end)
+            for key, own in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1).to_pylist()), strict=True):
+                ids = memoryview(own + end)
                 for i in range(0, len(ids), 4 * capacity):
-                    own = ids[i : i + 4 * capacity]
-                    n = len(own) // 4
-                    rows.append((key, i // (4 * capacity), i // 4, n, zlib.crc32(own), part, seen[n]))
+                    cut_ = ids[i : i + 4 * capacity]
+                    n = len(cut_) // 4
+                    rows.append((key, i // (4 * capacity), i // 4, n, zlib.crc32(cut_), part, seen[n]))
                     seen[n] += 1
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import mixing, packing, token_store, vector_search
+from loomlog.llm import mixing, packing, token_count, token_store, vector_search
 from loomlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by the compiled transducer."""
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents, sorted by training position."""
     return mixing.digest(table(spark, sf_dir, "documents"))
@@ -36,7 +41,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_token_store": op4_token_store, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_token_store": op4_token_store, "op6_token_count": op6_token_count, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
 
 
 #: The same results in DuckDB's SQL.

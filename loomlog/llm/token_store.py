@@ -147,8 +147,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: int = 2_000
             return pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("blob", pa.binary())]))
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.ids(text.as_py()) + end
+            for key, own in zip(batch.column(0).to_pylist(), enc.batch(batch.column(1).to_pylist()), strict=True):
+                ids = own + end
                 keys.append(key)
                 held.append(ids)
                 size += len(ids) // 4

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import functools
 import os
+import re
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -21,33 +23,62 @@ def library(path: str):
 
 
 class Encoder:
-    """``ids(text)``: little-endian unsigned 32-bit ids, as bytes, without added special tokens."""
+    """``batch(texts)``: each text's little-endian unsigned 32-bit ids, as bytes, without added special tokens."""
 
-    LIMIT = 200_000
+    LIMIT = 700_000
     LONGEST = 48
+    #: Pieces of these characters are lower-cased and cut here; the library's normaliser does no more to them.
+    PLAIN = staticmethod(re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch)
+    #: Fixed values of the vocabulary's lexer, for such pieces.
+    WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str) -> None:
         self.library = library(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        return {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True)}
+        """New pieces: plain ones by their words, which recur more than they do, others as they are; the library
+        encodes what is new of both, in one call."""
+        cut = {p: self.WORD.findall(p.lower()) for p in new if self.PLAIN(p) and "<|" not in p}
+        words = self.words
+        if len(words) > self.LIMIT:
+            words = self.words = {}
+        fresh = list({w for own in cut.values() for w in own if w not in words})
+        odd = [p for p in new if p not in cut]
+        encoded = self.library.encode_batch_fast(fresh + odd, add_special_tokens=False)
+        ids = [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        words.update(zip(fresh, ids, strict=False))
+        found = {p: b"".join([words[w] for w in own]) for p, own in cut.items()}
+        found.update(zip(odd, ids[len(fresh) :], strict=True))
+        return found
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        known, at = self.known, 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) < 1_000_000):
+                size += len(texts[end])
+                end += 1
+            cut = [self.pieces(t) for t in texts[at:end]]
+            ids = [list(map(known.get, own)) for own in cut]
+            missed = [i for i, own in enumerate(ids) if None in own]
+            new = {p for i in missed for p, v in zip(cut[i], ids[i], strict=True) if v is None}
+            found = self._learn(list(new)) if new else {}
+            for i in missed:
+                ids[i] = [found[p] if v is None else v for p, v in zip(cut[i], ids[i], strict=True)]
+            if len(known) + len(found) > self.LIMIT:
+                known = self.known = {"": b""}
+            known.update((p, v) for p, v in found.items() if len(p) <= self.LONGEST)
+            yield from map(b"".join, ids)
+            at = end
 
     def ids(self, text: str) -> bytes:
-        pieces, known = self.pieces(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, pieces))
-        except KeyError:
-            pass
-        if len(known) > self.LIMIT:
-            known = self.known = {"": b""}
-        found = self._learn([p for p in set(pieces) if p not in known])
-        known.update((p, v) for p, v in found.items() if len(p) <= self.LONGEST)
-        return b"".join([v if (v := known.get(p)) is not None else found[p] for p in pieces])
+        return next(self.batch([text]))
 
 
 @functools.cache
