@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import mixing, packing, token_count, token_store, vector_search
+from loomlog.llm import mixing, packing, simhash, token_count, token_store, vector_search
 from loomlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), separator=0, capacity=2048)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of three-word shingles and the components of links at two bits or fewer."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids to segments and reads them back."""
     return token_store.read(token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
@@ -41,7 +46,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op4_token_store": op4_token_store, "op6_token_count": op6_token_count, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_simhash": op2_simhash, "op4_token_store": op4_token_store, "op6_token_count": op6_token_count, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
 
 
 #: The same results in DuckDB's SQL.
