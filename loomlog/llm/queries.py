@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import mixing, packing, simhash, token_count, token_store, vector_search
+from loomlog.llm import media, mixing, packing, simhash, token_count, token_store, vector_search
 from loomlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a grey image in archives, read back and described."""
+    return media.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents, sorted by training position."""
     return mixing.digest(table(spark, sf_dir, "documents"))
@@ -46,7 +51,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_simhash": op2_simhash, "op4_token_store": op4_token_store, "op6_token_count": op6_token_count, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_simhash": op2_simhash, "op4_token_store": op4_token_store, "op6_token_count": op6_token_count, "op7_media": op7_media, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
 
 
 #: The same results in DuckDB's SQL.
