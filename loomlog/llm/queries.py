@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import media, mixing, packing, simhash, token_count, token_store, vector_search
+from loomlog.llm import html_extract, media, mixing, packing, simhash, token_count, token_store, vector_search
 from loomlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by its host's wrapper."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text by the compiled transducer."""
     return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
@@ -51,7 +56,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_simhash": op2_simhash, "op4_token_store": op4_token_store, "op6_token_count": op6_token_count, "op7_media": op7_media, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_simhash": op2_simhash, "op4_token_store": op4_token_store, "op5_html_extraction": op5_html_extraction, "op6_token_count": op6_token_count, "op7_media": op7_media, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
 
 
 #: The same results in DuckDB's SQL.
