@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import html_extract, media, mixing, packing, simhash, token_count, token_store, vector_search
+from loomlog.llm import html_extract, media, mixing, packing, quality, simhash, token_count, token_store, vector_search
 from loomlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Junk and toxicity scores of every document, and whether it is kept."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), sample_rows=12_000)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids to segments and reads them back."""
     return token_store.read(token_store.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2))
@@ -56,7 +61,7 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_simhash": op2_simhash, "op4_token_store": op4_token_store, "op5_html_extraction": op5_html_extraction, "op6_token_count": op6_token_count, "op7_media": op7_media, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
+    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_token_store": op4_token_store, "op5_html_extraction": op5_html_extraction, "op6_token_count": op6_token_count, "op7_media": op7_media, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
 
 
 #: The same results in DuckDB's SQL.
