@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlog.llm import html_extract, media, mixing, packing, quality, simhash, token_count, token_store, vector_search
+from loomlog.llm import html_extract, media, mixing, packing, passages, quality, simhash, token_count, token_store, vector_search
 from loomlog.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words and more that a document shares with an earlier one."""
+    return passages.passages(table(spark, sf_dir, "documents"), min_words=50, min_identity=0.8)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all documents, sorted by training position."""
     return mixing.digest(table(spark, sf_dir, "documents"))
@@ -60,8 +65,18 @@ def op10_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(vectors, vectors.where(F.col("id") % 50 == 0), k=5, scale=256.0)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_best_fit_packing": op1_best_fit_packing, "op2_simhash": op2_simhash, "op3_quality": op3_quality, "op4_token_store": op4_token_store, "op5_html_extraction": op5_html_extraction, "op6_token_count": op6_token_count, "op7_media": op7_media, "op9_mixing": op9_mixing, "op10_vector_search": op10_vector_search}
+    found = [
+        op1_best_fit_packing, op2_simhash, op3_quality, op4_token_store, op5_html_extraction, op6_token_count, op7_media, op8_passages, op9_mixing, op10_vector_search, pipeline,
+    ]
+    return {f.__name__: f for f in found}
 
 
 #: The same results in DuckDB's SQL.
