@@ -1 +1,13 @@
 """loomlog: Datalog queries, transactions and pulls over facts and DataFrames, run by Spark."""
+
+from loomlog.edn import Keyword, Symbol, pr_str, read_string
+from loomlog.errors import DatalogError
+from loomlog.operators.compiler import register
+from loomlog.operators.pull import pull, pull_frame, pull_many
+from loomlog.operators.query import Result, q
+from loomlog.sources.db import Datom, Db, Entity, by_column, datoms, diff, empty_db, entity, find_datom, index_range, init_db, rseek_datoms, seek_datoms
+
+__all__ = [
+    "Datom", "DatalogError", "Db", "Entity", "Keyword", "Result", "Symbol", "by_column", "datoms", "diff", "empty_db", "entity", "find_datom", "index_range", "init_db", "pr_str", "pull", "pull_frame",
+    "pull_many", "q", "read_string", "register", "rseek_datoms", "seek_datoms",
+]

@@ -221,16 +221,27 @@ class Db:
     def offset_of(self, table: EntityTable) -> int:
         return table.number * SPAN
 
-    def fused(self, attributes: list) -> DataFrame | None:
+    def fused(self, attributes: list, e: int | None = None, equal: dict[int, Any] | None = None) -> DataFrame | None:
         """One scan with a column for each attribute (``e, a0, a1, ...``; null where absent), if one table has them all
-        and nothing was transacted over them."""
+        and nothing was transacted over them. Conditions on the entity and on values (by the attribute's place) are put
+        to the table's own columns, so that they reach the files."""
         homes = [self.home(a) for a in attributes]
         if not homes or any(h is None for h in homes) or len({h[0].number for h in homes}) > 1 or self.filters:
             return None
         if any(self.gone.get(a) for a in attributes) or any(a in own for own in self.facts.values() for a in attributes):
             return None
         table = homes[0][0]
-        return table.frame.select(table.eid(self.offset_of(table)).alias("e"), *(self.value_of(*h).alias(f"a{i}") for i, h in enumerate(homes)))
+        frame = table.frame
+        if e is not None:
+            frame = frame.where(F.col(f"`{table.key}`") == F.lit(e - self.offset_of(table)))
+        for i, v in (equal or {}).items():
+            _, column, to = homes[i]
+            kind = frame.schema[column].dataType
+            if to:
+                v = v - self.offset(to) if isinstance(v, int) else None
+            fits = v is not None and (isinstance(v, bool) == isinstance(kind, T.BooleanType)) and (isinstance(v, int | float) == isinstance(kind, T.NumericType | T.BooleanType))
+            frame = frame.where(F.col(f"`{column}`") == F.lit(str(v) if isinstance(v, str) else v) if fits else F.lit(False))
+        return frame.select(table.eid(self.offset_of(table)).alias("e"), *(self.value_of(*h).alias(f"a{i}") for i, h in enumerate(homes)))
 
     def tagged(self, attributes: list | None = None) -> DataFrame:
         """All facts: ``e, a, v struct, tx``; one scan for each table."""
