@@ -23,7 +23,7 @@ from loomlog.sources.shared import written
 
 K = Keyword
 ID = K(":db/id")
-CURRENT = (K(":db/current-tx"), ":db/current-tx", "datomic.tx", "datascript.tx")
+CURRENT = (K(":db/current-tx"), ":db/current-tx", "datomic.tx")
 
 
 @dataclass
@@ -366,7 +366,7 @@ class Transaction:
 
 
 def pr_str_datom(e: int, a: Any, v: Any, tx: int) -> str:
-    return f"#datascript/Datom [{e} {pr_str(a)} {pr_str(v)} {tx} true]".replace("datascript/", "")
+    return f"#Datom [{e} {pr_str(a)} {pr_str(v)} {tx} true]"
 
 
 def with_(db: Db, tx_data: Any, tx_meta: Any = None) -> TxReport:
