@@ -190,7 +190,7 @@ class Context:
         db, e, a = self.sources[c.source], c.terms[0], self.known(c.terms[1])
         if not isinstance(a, Q.Const) or not isinstance(e, Q.Var) or e.name in self.consts:
             return None
-        return (c.source, e.name, db.home(a.value)[0].number) if db.fused([a.value]) is not None else None
+        return (c.source, e.name, id(db.home(a.value)[0].frame)) if db.fused([a.value]) is not None else None
 
     def known(self, t: Any) -> Any:
         """A term with its constant, where it is one."""
@@ -553,6 +553,8 @@ def return_type(f: Callable) -> Any:
     simple = {int: "long", float: "double", str: "string", bool: "boolean", dt.datetime: "timestamp", "int": "long", "float": "double", "str": "string", "bool": "boolean"}
     if found in simple if isinstance(found, type | str) else False:
         return simple[found]
+    if isinstance(found, str) and found.startswith("list["):
+        return f"array<{simple[found[5:-1]]}>"
     if typing.get_origin(found) is list:
         return f"array<{simple[typing.get_args(found)[0]]}>"
     return found or "string"

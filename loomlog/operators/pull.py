@@ -183,7 +183,7 @@ def pull_frame(db: Db, pattern: Any, ids: DataFrame | None = None, depth: dict |
     groups: dict[Any, list[Attr]] = {}
     for a in flat:
         home = db.home(a.attribute)
-        groups.setdefault(home[0].number if home and db.fused([a.attribute]) is not None else ("own", str(a.attribute)), []).append(a)
+        groups.setdefault(id(home[0].frame) if home and db.fused([a.attribute]) is not None else ("own", str(a.attribute)), []).append(a)
     frames = []
     for g, own in groups.items():
         names = [f"_{len(columns) + i}" for i in range(len(own))]

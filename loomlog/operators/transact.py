@@ -90,7 +90,7 @@ class Transaction:
         if e not in self.touched:
             self.facts[e] = {x: dict(own) for x, own in self.facts.get(e, {}).items()}
             self.touched.add(e)
-        own = self.facts[e].setdefault(a, {})
+        own = self.facts.setdefault(e, {}).setdefault(a, {})
         k = frozen(v)
         if added:
             own[k] = (v, self.tx)

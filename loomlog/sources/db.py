@@ -226,7 +226,7 @@ class Db:
         and nothing was transacted over them. Conditions on the entity and on values (by the attribute's place) are put
         to the table's own columns, so that they reach the files."""
         homes = [self.home(a) for a in attributes]
-        if not homes or any(h is None for h in homes) or len({h[0].number for h in homes}) > 1 or self.filters:
+        if not homes or any(h is None for h in homes) or len({id(h[0].frame) for h in homes}) > 1 or self.filters:
             return None
         if any(self.gone.get(a) for a in attributes) or any(a in own for own in self.facts.values() for a in attributes):
             return None
@@ -270,8 +270,7 @@ class Db:
     def facts_of(self, e: int) -> dict[Any, list[tuple[Any, int]]]:
         """All facts of one entity."""
         out: dict[Any, list] = {a: [x for x in own.values() if self._passes(Datom(e, a, *x))] for a, own in self.facts.get(e, {}).items()}
-        table = next((t for t in self.tables.values() if t.number == e // SPAN), None)
-        if table:
+        for table in (t for t in self.tables.values() if t.number == e // SPAN):
             key = e - self.offset_of(table)
             row = table.frame.where(F.col(f"`{table.key}`") == key).select(*(self.value_of(table, c, to).alias(f"c{i}") for i, (c, to) in enumerate(table.columns.values()))).first()
             for a, v in zip(table.columns, row or (), strict=False):
