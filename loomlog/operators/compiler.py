@@ -371,6 +371,8 @@ class Context:
         else:
             attributes = [self.known(t).value for t in (c.args[2:3] if f == "get-else" else c.args[2:])]
             values = []
+            if f == "get-some":  # those that nothing has decide neither value nor type
+                attributes = [a for a in attributes if db.home(a) or db.local(a)] or attributes[:1]
             for i, a in enumerate(attributes):
                 own = db.attr(a).select(F.col("e").alias(f"{out}e{i}"), F.col("v").alias(f"{out}v{i}"))
                 if db.schema.many(a):

@@ -50,7 +50,7 @@ class Result:
         rows = self.rows()
         if q.keys:
             return [self._mapped(r) for r in rows]
-        return rows if q.with_ or any(isinstance(f, Q.Aggregate | Q.Pull) for f in q.find) else {frozen(r) for r in rows}
+        return rows if q.with_ or any(isinstance(f, Q.Aggregate | Q.Pull) for f in q.find) else {tuple(map(frozen, r)) for r in rows}
 
     def _mapped(self, row: tuple) -> Any:
         if not self.query.keys:
