@@ -91,6 +91,13 @@ def join(a: Rel, b: Rel) -> Rel:
     return Rel(df, a.vars | b.vars, keys, a.nullable | b.nullable, a.textual | b.textual)
 
 
+@dataclass(frozen=True)
+class Negated:
+    """The complement of a predicate."""
+
+    of: Any
+
+
 class Context:
     def __init__(self, spark: SparkSession, sources: dict[str, Any], rules: dict[str, Q.Rule], consts: dict[str, Any] | None = None) -> None:
         self.spark, self.sources, self.rules = spark, sources, rules
@@ -276,6 +283,8 @@ class Context:
         """A built-in's name, or a function of the program's."""
         if isinstance(f, Q.Var):
             found = self.consts.get(f.name)
+            if isinstance(found, Negated):
+                return found
             if isinstance(found, Q.Name):
                 return self.callable_of(found)
             if callable(found):
@@ -283,6 +292,8 @@ class Context:
             raise DatalogError(f"Unknown function '{f.name}'")
         if isinstance(f, Q.Const) and callable(f.value):
             return f.value
+        if isinstance(f, Negated):
+            return f
         name = f.name
         if name in BUILT_INS or name in DATABASE:
             return name
@@ -290,7 +301,10 @@ class Context:
             return REGISTRY[name]
         raise DatalogError(f"Unknown predicate or function '{name}'")
 
-    def applied(self, f: Callable | str, args: tuple, rel: Rel | None, kind: str | None = None) -> Column:
+    def applied(self, f: Any, args: tuple, rel: Rel | None, kind: str | None = None) -> Column:
+        if isinstance(f, Negated):
+            inner = self.applied(f.of, args, rel, kind or "boolean")
+            return ~truthy((inner, (rel.df if rel else self.spark.range(1)).select(inner.alias("x")).schema["x"].dataType))
         if isinstance(f, str):
             own = [self.argument(t, rel) for t in args if not isinstance(t, Q.Source)]
             return BUILT_INS[f](*own)
@@ -302,8 +316,6 @@ class Context:
 
     def predicate(self, c: Q.Predicate) -> None:
         f = self.callable_of(c.function)
-        if f == "complement":
-            raise DatalogError("complement makes functions, it is not a predicate")
         if f == "missing?":
             self.missing(c)
             return
@@ -343,6 +355,10 @@ class Context:
         self.put(rel, replace(rel, df=rel.df.join(df, column == F.col("__e"), "left_anti")))
 
     def function(self, c: Q.Function) -> None:
+        if c.function == Q.Name("complement"):
+            of = self.callable_of(c.args[0])
+            self.consts[c.binding.var.name] = Negated(of)
+            return
         f = self.callable_of(c.function)
         if f in ("ground", "identity", "untuple") and not self._names(c.args):
             self.bind(c.binding, self.known(c.args[0]).value)

@@ -20,8 +20,9 @@ from loomlog.sources.db import Db
 class Result:
     """``df`` has a column for each find element; ``value()`` is the result in the query's shape."""
 
-    def __init__(self, df: DataFrame, query: Q.Query, consts: dict[str, Any], sources: dict[str, Any]) -> None:
+    def __init__(self, df: DataFrame, query: Q.Query, consts: dict[str, Any], sources: dict[str, Any], refs: dict[str, dict] | None = None) -> None:
         self.df, self.query, self.consts, self.sources = df, query, consts, sources
+        self.refs = refs or {}  # variables that were given as lookup refs: entity to ref
 
     def rows(self, limit: int | None = None) -> list[tuple]:
         rows = self.df.take(limit) if limit else self.df.collect()
@@ -30,6 +31,8 @@ class Result:
     def _plain(self, f: Any, x: Any) -> Any:
         if isinstance(f, Q.Var) and f.name in self.consts:
             return self.consts[f.name]
+        if isinstance(f, Q.Var) and f.name in self.refs:
+            return self.refs[f.name].get(x, x)
         if isinstance(f, Q.Pull):
             if not isinstance(x, Row):
                 pattern = self.consts.get(f.pattern.name) if isinstance(f.pattern, Q.Var) else f.pattern.value
@@ -80,6 +83,7 @@ def q(query: Any, *inputs: Any, spark: SparkSession | None = None) -> Result:
         raise DatalogError(f"Too few inputs passed, expected: {ins_text(parsed)}, got: {len(inputs)}")
     found = next((i.spark for i in inputs if isinstance(i, Db) and i._spark), None) or next((i.sparkSession for i in inputs if isinstance(i, DataFrame)), None)
     ctx = Context(spark or found or SparkSession.builder.getOrCreate(), {}, {})
+    refs: dict[str, dict] = {}
     for b, value in zip(parsed.ins, inputs, strict=True):
         name = b.var.name if isinstance(b, Q.BindScalar) and isinstance(b.var, Q.Source | Q.Name) else None
         if isinstance(b, Q.BindScalar) and isinstance(b.var, Q.Source):
@@ -88,11 +92,11 @@ def q(query: Any, *inputs: Any, spark: SparkSession | None = None) -> Result:
             ctx.rules = Q.parse_rules(value)
         elif name:
             register(name, value) if callable(value) else ctx.consts.__setitem__(name, value)
-        elif not lookups(ctx, b, value):
+        elif not lookups(ctx, b, value, refs):
             ctx.bind(b, value)
     given = dict(ctx.consts)
     ctx.run(parsed.where)
-    return Result(finished(ctx, parsed, given), parsed, ctx.consts, ctx.sources)
+    return Result(finished(ctx, parsed, given), parsed, ctx.consts, ctx.sources, refs)
 
 
 def ins_text(parsed: Q.Query) -> str:
@@ -101,7 +105,7 @@ def ins_text(parsed: Q.Query) -> str:
     return "[" + " ".join(map(shown, parsed.ins)) + "]"
 
 
-def lookups(ctx: Context, b: Any, value: Any) -> bool:
+def lookups(ctx: Context, b: Any, value: Any, refs: dict[str, dict]) -> bool:
     """Lookup refs that come as a collection are resolved here: the variable's relation has their entities, and the
     result shows the refs as they were given."""
     if not (isinstance(b, Q.BindColl) and isinstance(b.part, Q.BindScalar) and isinstance(value, list | tuple)):
@@ -109,7 +113,10 @@ def lookups(ctx: Context, b: Any, value: Any) -> bool:
     db = next((s for s in ctx.sources.values() if isinstance(s, Db)), None)
     if db is None or not value or not all(isinstance(x, list | tuple) and len(x) == 2 and isinstance(x[0], Keyword) for x in value):
         return False
-    ctx.bind(b, [db.entid_strict(list(x)) for x in value])
+    found = {db.entid_strict(list(x)): list(x) for x in value}
+    if isinstance(b.part.var, Q.Var):
+        refs[b.part.var.name] = found
+    ctx.bind(b, list(found))
     return True
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -568,6 +568,33 @@ class Entity:
         return pr_str({Keyword(":db/id"): self.eid})
 
 
+def datafy(db: Db, ref: Any) -> dict:
+    """An entity's attributes, and the entities that refer to it under reverse names."""
+    eid = db.entid_strict(ref)
+    out: dict = {Keyword(":db/id"): eid} | {a: [v for v, _ in own] if db.schema.many(a) else own[0][0] for a, own in db.facts_of(eid).items()}
+    for e, a in db.referring(eid):
+        ns, _, name = str(a)[1:].rpartition("/")
+        out.setdefault(Keyword(f"{ns + '/' if ns else ''}_{name}"), []).append(e)
+    return out
+
+
+def empty(db: Db) -> Db:
+    """A database without facts, of the same schema."""
+    return Db(db.schema, db._spark)
+
+
+def chunks(frame: DataFrame, size: int = 1000) -> Iterator[list]:
+    """The rows of an ordered run, some at a time; only one partition is with the driver at once."""
+    own = []
+    for row in frame.toLocalIterator():
+        own.append(row)
+        if len(own) == size:
+            yield own
+            own = []
+    if own:
+        yield own
+
+
 def entity(db: Db, ref: Any) -> Entity | None:
     """The entity of an id, lookup ref or ident; None where a lookup finds nothing or there are no facts."""
     eid = db.entid(ref)

@@ -1,6 +1,7 @@
 import pytest
 
 from loomlog import DatalogError, Keyword, by_column, datoms, diff, empty_db, entity, index_range, pull, pull_many, q, seek_datoms
+from loomlog.sources.db import chunks, datafy, empty
 from loomlog.operators.transact import bulk, db_with, with_
 from loomlog.sources.storage import Storage, db_string, from_json, read_db, serializable, squuid, squuid_time_millis, to_json
 from loomlog.streaming.conn import changes, conn_from_db, latest
@@ -104,6 +105,8 @@ def test_indexes_and_views(db):
 def test_lookup_refs(db):
     assert q('[:find ?a . :where [[:name "Ivan"] :age ?a]]', db).value() == 15
     assert q("[:find ?e ?a :in $ ?e :where [?e :age ?a]]", db, [K("name"), "Ivan"]).value() == {((K("name"), "Ivan"), 15)}
+    assert q("[:find ?e ?a :in $ [?e ...] :where [?e :age ?a]]", db, [[K("name"), "Ivan"], [K("name"), "Petr"]]).value() == {((K("name"), "Ivan"), 15), ((K("name"), "Petr"), 37)}
+    assert datafy(db, 2)[K("_friend")] == [1] and empty(db).local_datoms() == [] and [len(c) for c in chunks(datoms(db, ":eavt"), 4)] == [4, 3]
     with pytest.raises(DatalogError, match="Nothing found for entity id"):
         q('[:find ?a :where [[:name "None"] :age ?a]]', db)
     with pytest.raises(DatalogError, match="should be marked as :db/unique"):
