@@ -119,15 +119,15 @@ def train(rows: list[np.ndarray], labels: np.ndarray, l1: float = 1e-5, rounds:
     n = len(rows)
     if not n or labels.max() < 0.5 or labels.min() > 0.5:
         return weights, -20.0 if not n or labels.max() < 0.5 else 20.0
-    flat = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    flat = np.concatenate(rows)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     df = np.bincount(flat, minlength=1 << BITS).astype(float)
     pos = np.bincount(flat, weights=labels[owner], minlength=1 << BITS)
     share = labels.mean()
     strength = np.where(df >= 4, (pos - df * share) ** 2 / np.maximum(df * share * (1 - share), 1e-9), 0)
     chosen = np.sort(np.argsort(-strength, kind="stable")[:keep])
     chosen = chosen[strength[chosen] > 9]
-    to = np.full(1 << BITS, -1)
+    to = np.full(1 << BITS, -1, np.int32)
     to[chosen] = np.arange(len(chosen))
     inside = to[flat] >= 0
     column, owner = to[flat[inside]], owner[inside]
@@ -182,7 +182,7 @@ def sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
     if found.isEmpty():
         ids = text.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
         found = text.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    return found.limit(2 * sample_rows)
+    return found.dropDuplicates(["doc_id"])  # a row for each sampled id
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Model:
@@ -200,11 +200,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Model:
     got = bounded.mapInArrow(rows, schema).toArrow().to_pandas().sort_values(["doc_id", "insults"], kind="stable")
     if not len(got):
         return Model(train([], np.empty(0)), train([], np.empty(0)))
-    words, styles = [np.asarray(x, np.int64) for x in got["words"]], [np.asarray(x, np.int64) for x in got["style"]]
+    words, styles = [np.asarray(x, np.int32) for x in got["words"]], [np.asarray(x, np.int32) for x in got["style"]]
     annotated = lambda c, bad: np.select([got[c].isna(), got[c] == bad], [0, 1], -1)
     bad, toxic = annotated("quality", 0), annotated("toxic", 1)
     junk_p, _, _ = expectation_maximisation(np.column_stack([np.array(got["votes"].tolist(), np.int64), bad]), annotator=-1)
-    flat, owner = np.concatenate(words), np.repeat(np.arange(len(words)), [len(w) for w in words])
+    flat, owner = np.concatenate(words), np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
     half = got["doc_id"].fillna(0).astype("int64").map(lambda x: zlib.crc32(str(x).encode()) & 1).to_numpy()
     lexicons = []
     for least, most in ((3, 0.0), (6, 0.05)):  # rare cues that clean documents never have; common ones that few have
