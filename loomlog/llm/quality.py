@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from operator import eq
@@ -48,7 +49,7 @@ def of_word(word: str) -> tuple[int, ...]:
     return (hashed(f"w={word}"), *(hashed(f"b={word[:n]}") for n in (4, 5) if len(word) >= n))
 
 
-known_words = functools.lru_cache(200_000)(of_word)
+known_words = functools.lru_cache(20_000)(of_word)
 
 
 def statistics(text: str) -> dict[str, float]:
@@ -149,23 +150,35 @@ def train(rows: list[np.ndarray], labels: np.ndarray, l1: float = 1e-5, rounds:
     return weights, bias
 
 
+class Hits:
+    """A worker's memory of words' weighty features, for the model that it used last: one at a time, so that a worker
+    that outlives many models does not keep them."""
+
+    of: str = ""
+    words: dict[str, tuple[int, ...]] = {}
+
+    @classmethod
+    def for_model(cls, name: str) -> dict[str, tuple[int, ...]]:
+        if cls.of != name or len(cls.words) > 150_000:
+            cls.of, cls.words = name, {}
+        return cls.words
+
+
 class Model:
     """Two scorers: (weights, bias) for junk and for toxicity."""
 
     def __init__(self, junk: tuple[np.ndarray, float], toxic: tuple[np.ndarray, float]) -> None:
         self.junk, self.toxic = junk, toxic
         self.heavy = {i: float(toxic[0][i]) for i in np.flatnonzero(toxic[0])}
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.name = uuid.uuid4().hex
 
     def scores(self, text: str) -> tuple[float, float]:
         if not text.strip():
             return 1.0, 0.0
         z = self.junk[1] + float(self.junk[0][style(text)].sum())
-        cache, heavy, hit = self.cache, self.heavy, set()
+        cache, heavy, hit = Hits.for_model(self.name), self.heavy, set()
         for w in set(WORD.findall(text.lower())):
             if (own := cache.get(w)) is None:
-                if len(cache) > 300_000:
-                    cache.clear()
                 own = cache[w] = tuple(f for f in of_word(w) if f in heavy)
             hit.update(own)
         y = self.toxic[1] + sum(map(heavy.__getitem__, hit))
