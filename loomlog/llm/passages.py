@@ -5,9 +5,10 @@
 * A seed's occurrence in the document of least id stands for all others, so a passage that a million documents share
   gives a million matches, not pairs. Occurrences join their seed's representative.
 * Chains: the matches of a document with one representative document are chained in both texts' order. The best chain
-  is found in n log n with a Fenwick tree of prefix maxima: a match weighs ``WEIGHT``, a gap costs ``GAP_COST`` for
-  each word of either text. Chains are cut where a gap is over ``MAX_GAP`` words, and at multiples of ``BLOCK`` words
-  of the representative, so that texts can be fetched by blocks.
+  that ends at each match is found in n log n with a Fenwick tree of prefix maxima: a match weighs ``WEIGHT``, a gap
+  costs ``GAP_COST`` for each word of either text. Chains are cut where a gap is over ``MAX_GAP`` words, and at
+  multiples of ``BLOCK`` words of the representative, so that texts can be fetched by blocks. Matches outside the
+  spans of the parts make further chains, down to single matches.
 * Alignment: each chain's windows of words meet (a document's by its own text; a representative's as blocks that are
   fetched once each however many chains want them) and are aligned: gaps between seeds by edit distance, ends by
   extension as long as more agrees than differs. Pieces that lie side by side become one passage.
@@ -69,11 +70,10 @@ def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at].view(np.int64), at.astype(np.int32)
 
 
-def best_chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which matches (places ``a``, ascending, and ``b``) the chain of greatest score has."""
+def best_chains(a: np.ndarray, b: np.ndarray) -> tuple[list[float], list[int]]:
+    """For each match (places ``a``, ascending, and ``b``) the score of the best chain that ends there, and the match
+    before it in that chain (-1: none)."""
     n = len(a)
-    if n == 1 or (b[1:] > b[:-1]).all() and (a[1:] > a[:-1]).all():
-        return np.arange(n)
     rank = np.unique(b, return_inverse=True)[1] + 1
     size = int(rank.max())
     tree_value, tree_index = [-1e18] * (size + 1), [-1] * (size + 1)
@@ -97,6 +97,12 @@ def best_chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
                     tree_value[r], tree_index[r] = value, m
                 r += r & -r
         i = j
+    return score, parent
+
+
+def best_chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which matches the chain of greatest score has."""
+    score, parent = best_chains(a, b)
     out, m = [], int(np.argmax(score))
     while m >= 0:
         out.append(m)
@@ -105,19 +111,26 @@ def best_chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def chains(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chains of matches, best first, until none is left; each cut at long gaps and at the representative's blocks."""
-    while len(a):
-        own = best_chain(a, b)
-        x, y = a[own], b[own]
+    """Parts of chains, best chains first, until no match is left; chains are cut at long gaps and at the
+    representative's blocks first, and only matches inside a part's span are taken as found with it."""
+    n = len(a)
+    if n == 1 or (b[1:] > b[:-1]).all() and (a[1:] > a[:-1]).all():
+        score, parent = range(n), range(-1, n - 1)
+    else:
+        score, parent = best_chains(a, b)
+    left = np.ones(n, bool)
+    for m in np.argsort(-np.asarray(score), kind="stable").tolist():
+        own = []
+        while m >= 0 and left[m]:
+            own.append(m)
+            m = parent[m]
+        if not own:
+            continue
+        x, y = a[own[::-1]], b[own[::-1]]
         cut = (np.diff(x) > MAX_GAP) | (np.diff(y) > MAX_GAP) | (np.diff(y // BLOCK) > 0)
         for part in np.split(np.arange(len(x)), np.flatnonzero(cut) + 1):
             yield x[part], y[part]
-        if len(own) == len(a) or len(own) < 2:
-            return
-        left = np.ones(len(a), bool)
-        left[own] = False
-        left &= (a < x[0]) | (a > x[-1])  # what the chain spans is found
-        a, b = a[left], b[left]
+            left[np.searchsorted(a, x[part[0]]) : np.searchsorted(a, x[part[-1]], "right")] = False
 
 
 def _gap(u: np.ndarray, v: np.ndarray) -> int:

@@ -139,6 +139,15 @@ def test_chain_is_best(seed):
     assert len(own) * passages.WEIGHT - passages.GAP_COST * (x[-1] - x[0] + y[-1] - y[0]) == pytest.approx(brute_chain(a.tolist(), b.tolist()))
 
 
+def test_chains_leave_no_match():
+    at = np.arange(0, 96, 6)
+    a, b = np.concatenate([at, at + 150, at + 300]), np.concatenate([at, at + 400, at + 200])
+    found = list(passages.chains(a, b))  # A, B, C of the source come as A, C, B
+    assert {(int(x), int(y)) for own in found for x, y in zip(*own, strict=True)} == set(zip(a.tolist(), b.tolist(), strict=True))
+    single = list(passages.chains(np.array([0, 300, 600]), np.array([600, 300, 0])))
+    assert sorted((int(x[0]), int(y[0])) for x, y in single) == [(0, 600), (300, 300), (600, 0)]
+
+
 def corpus():
     rng = random.Random(9)
     words = lambda n: rng.choices(VOCABULARY, k=n)
