@@ -11,7 +11,8 @@
   spans of the parts make further chains, down to single matches.
 * Alignment: each chain's windows of words meet (a document's by its own text; a representative's as blocks that are
   fetched once each however many chains want them) and are aligned: gaps between seeds by edit distance, ends by
-  extension as long as more agrees than differs. Pieces that lie side by side become one passage.
+  extension as long as more agrees than differs. A piece of too little identity is split at its differing words into
+  the spans that have enough. Spans that lie side by side become one passage, by the same split.
 
 A passage has at least ``min_words`` words of which at least ``min_identity`` are the same in both texts.
 
@@ -133,33 +134,47 @@ def chains(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarra
             left[np.searchsorted(a, x[part[0]]) : np.searchsorted(a, x[part[-1]], "right")] = False
 
 
-def _gap(u: np.ndarray, v: np.ndarray) -> int:
-    """Words that an alignment of two short runs has in common."""
-    if len(u) == len(v):
-        same = int((u == v).sum())
-        if same * 2 >= len(u):
-            return same
+def _gap(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each word of a short run the place of its equal in another, or -1, by an alignment with most in common."""
+    out = np.full(len(u), -1)
     if not len(u) or not len(v):
-        return 0
-    row = np.zeros(len(v) + 1, np.int64)
-    for x in u:  # longest common subsequence, a row at a time
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (v == x)))
-    return int(row[-1])
-
-
-def _extend(u: np.ndarray, v: np.ndarray) -> tuple[int, int, int]:
-    """How far two runs agree from their start: words of each, and equal words. A word more or less on one side is
-    followed; extension ends where too much differs."""
-    i = j = same = 0
-    best, score, at = 0.0, 0.0, (0, 0, 0)
+        return out
+    if len(u) == len(v):
+        same = np.flatnonzero(u == v)
+        if len(same) * 2 >= len(u):
+            out[same] = same
+            return out
+    rows = np.zeros((len(u) + 1, len(v) + 1), np.int64)
+    for i, x in enumerate(u):  # longest common subsequence, a row at a time
+        rows[i + 1, 1:] = np.maximum.accumulate(np.maximum(rows[i, 1:], rows[i, :-1] + (v == x)))
+    i, j = len(u), len(v)
+    if rows[i, j]:
+        table = rows.tolist()
+        while i and j:
+            if table[i][j] == table[i - 1][j]:
+                i -= 1
+            elif table[i][j] == table[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                out[i] = j
+    return out
+
+
+def _extend(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """How far two runs agree from their start: for each word of the first as far as that, the place of its equal in the
+    second, or -1. A word more or less on one side is followed; extension ends where too much differs."""
+    i = j = 0
+    best, score, end, runs = 0.0, 0.0, 0, []
     while i < len(u) and j < len(v):
         if u[i] == v[j]:
             n = min(len(u) - i, len(v) - j)
             differs = np.flatnonzero(u[i : i + n] != v[j : j + n])
             run = int(differs[0]) if len(differs) else n
-            i, j, same, score = i + run, j + run, same + run, score + run
+            runs.append((i, j, run))
+            i, j, score = i + run, j + run, score + run
             if score > best:
-                best, at = score, (i, j, same)
+                best, end = score, i
             continue
         score -= 2
         if score < best - 8:
@@ -170,22 +185,54 @@ def _extend(u: np.ndarray, v: np.ndarray) -> tuple[int, int, int]:
                 break
         else:
             i, j = i + 1, j + 1
-    return at
+    out = np.full(end, -1)
+    for i, j, run in runs:
+        if i < end:
+            out[i : i + run] = np.arange(j, j + run)
+    return out
 
 
-def align(words: np.ndarray, source: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """A chain's span in both windows and its equal words; ``a`` and ``b`` are its seeds' places in the windows."""
+def align(words: np.ndarray, source: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
+    """Where a chain's span begins in the document's window, and for each word of the span the place of its equal in
+    the source's window, or -1; ``a`` and ``b`` are the places of the chain's seeds in the windows."""
     left = _extend(words[: a[0]][::-1], source[: b[0]][::-1])
     right = _extend(words[a[-1] + K :], source[b[-1] + K :])
-    same, x, y = K, int(a[0]) + K, int(b[0]) + K
-    for p, q in zip(a[1:].tolist(), b[1:].tolist(), strict=True):
-        gap, other = p - x, q - y
-        if gap >= 0 and other >= 0:
-            same += _gap(words[x:p], source[y:q]) + K
-        else:  # overlapping seeds: as much as is new in both
-            same += max(0, min(p + K - x, q + K - y))
+    lo, end = int(a[0]) - len(left), int(a[-1]) + K
+    out = np.full(end + len(right) - lo, -1)
+    out[: len(left)] = np.where(left < 0, -1, b[0] - 1 - left)[::-1]
+    out[end - lo :] = np.where(right < 0, -1, b[-1] + K + right)
+    x = y = -1
+    for p, q in zip(a.tolist(), b.tolist(), strict=True):
+        if x >= 0 and p > x and q > y:
+            found = _gap(words[x:p], source[y:q])
+            out[x - lo : p - lo] = np.where(found < 0, -1, y + found)
+        new = max(0, x - p, y - q)  # overlapping seeds: what is new in both
+        out[p + new - lo : p + K - lo] = np.arange(q + new, q + K)
         x, y = p + K, q + K
-    return int(a[0]) - left[0], int(a[-1]) + K + right[0], int(b[0]) - left[1], int(b[-1]) + K + right[1], same + left[2] + right[2]
+    return lo, out
+
+
+def similar(equal: np.ndarray, min_identity: float, least: int) -> list[tuple[int, int]]:
+    """Spans of at least ``least`` words of which at least ``min_identity`` are ``equal``: all of it, or else the longest
+    such span and those beside it. Spans begin and end with equal words."""
+    out, todo = [], [(0, len(equal))]
+    while todo:
+        lo, hi = todo.pop()
+        at = np.flatnonzero(equal[lo:hi])
+        if not len(at) or at[-1] - at[0] + 1 < least:
+            continue
+        lo, hi = lo + int(at[0]), lo + int(at[-1]) + 1
+        sums = np.concatenate([[0.0], np.cumsum(equal[lo:hi] - min_identity)])
+        begin = np.searchsorted(-np.minimum.accumulate(sums), -sums - 1e-6)  # the first place from where the mean is enough
+        length = np.arange(len(sums)) - begin
+        j = int(length.argmax())
+        i = int(begin[j])
+        own = np.flatnonzero(equal[lo + i : lo + j])
+        x, y = lo + i + int(own[0]), lo + i + int(own[-1]) + 1
+        if y - x >= least:
+            out.append((x, y))
+        todo += [(lo, x), (y, hi)]
+    return sorted(out)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -282,45 +329,50 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
     blocks = written(blocks, "blocks")
     pieces = both.where("doc_id IS NOT NULL")
     joined = pieces.join(blocks, (pieces["source"] == blocks["_source"]) & (pieces["block"] == blocks["_block"])).select("doc_id", "source", "from", "words", "a", "b", "source_from", "source_words")
-    piece = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("source_lo", pa.int32()), ("source_hi", pa.int32()), ("same", pa.int32())])
+    piece = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("source_lo", pa.int32()), ("equal", pa.binary())])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for key, source, at, words, a, b, source_at, other in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 u, v = np.frombuffer(words, "<u2"), np.frombuffer(other, "<u2")
-                lo, hi, s_lo, s_hi, same = align(u, v, np.array(a) - at, np.array(b) - source_at)
-                rows.append((key, source, at + lo, at + hi, source_at + s_lo, source_at + s_hi, same))
+                lo, places = align(u, v, np.array(a) - at, np.array(b) - source_at)
+                equal = places >= 0
+                for x, y in similar(equal, min_identity, min(K, min_words)):
+                    rows.append((key, source, at + lo + x, at + lo + y, source_at + int(places[x]), np.packbits(equal[x:y]).tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), piece.types, strict=True)], schema=piece)
 
-    spans = joined.mapInArrow(aligned, "doc_id long, source long, lo int, hi int, source_lo int, source_hi int, same int")
+    spans = joined.mapInArrow(aligned, "doc_id long, source long, lo int, hi int, source_lo int, equal binary")
     final = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("n_words", pa.int32()), ("identity", pa.float64()), ("source_doc_id", pa.int64()), ("source_start_word", pa.int32())])
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pieces of a document in order; those side by side are one passage, with the source of its longest piece."""
-        now: list | None = None  # doc, lo, hi, equal words, source, source_lo, words of that source
+        run: list[tuple] = []  # pieces side by side: doc, source, lo, hi, source_lo, equal words
 
         def done() -> list[tuple]:
-            if now is None or now[2] - now[1] < min_words:
+            if not run:
+                return []
+            start, end = run[0][2], max(p[3] for p in run)
+            if end - start < min_words:
                 return []
-            identity = min(1.0, now[3] / (now[2] - now[1]))
-            return [(now[0], now[1], now[2], now[2] - now[1], round(identity, 4), now[4], now[5])] if identity >= min_identity else []
+            equal, out = np.zeros(end - start, bool), []
+            for _, _, lo, hi, _, bits in run:
+                equal[lo - start : hi - start] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=hi - lo).astype(bool)
+            for x, y in similar(equal, min_identity, min_words):
+                x, y = start + x, start + y
+                _, source, lo, _, s_lo, _ = max(run, key=lambda p: min(y, p[3]) - max(x, p[2]))
+                out.append((run[0][0], x, y, y - x, round(float(equal[x - start : y - start].mean()), 4), source, max(0, s_lo + max(0, x - lo))))
+            return out
 
         for batch in batches:
             rows = []
-            for key, source, lo, hi, s_lo, _, same in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
-                if same < min_identity * (hi - lo):
-                    continue
-                if now is not None and now[0] == key and lo <= now[2] + 4:
-                    if hi > now[2]:
-                        now[3] += round(same * min(1.0, (hi - max(lo, now[2])) / (hi - lo)))
-                        now[2] = hi
-                    if hi - lo > now[6]:
-                        now[4:] = [source, s_lo, hi - lo]
-                else:
+            for p in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if run and (run[0][0] != p[0] or p[2] > end + 4):
                     rows += done()
-                    now = [key, lo, hi, same, source, s_lo, hi - lo]
+                    run = []
+                end = max(end, p[3]) if run else p[3]
+                run.append(p)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), final.types, strict=True)], schema=final)
         if rows := done():

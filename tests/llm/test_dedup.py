@@ -188,3 +188,26 @@ def test_passages(spark):
     assert 103 not in left and left[1]["text"] == docs[1][1] and all(r["n_chars"] == len(r["text"]) for k, r in left.items() if r["text"])
     assert left[102]["text"] == "too short" and 100 in left and 101 in left and None in left
     assert passages.passages(frame.limit(0)).count() == 0
+
+
+def test_exact_runs_with_rewritten_words_between(spark):
+    """Exact runs of over 50 words are found whatever other runs of the same source are near."""
+    rng = random.Random(17)
+    words = lambda n: rng.choices(VOCABULARY, k=n)
+    source = words(900)
+    new = lambda n: [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    near = source[300:360] + new(20) + source[380:392] + new(100)
+    several = source[500:555] + new(30) + source[585:640] + new(35) + source[675:730]
+    rows = passages.passages(spark.createDataFrame([(1, " ".join(source)), (2, " ".join(new(40) + near)), (3, " ".join(several))], "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["source_start_word"]) for r in rows)
+    assert got == [(2, 40, 100, 300), (3, 0, 55, 500), (3, 85, 140, 585), (3, 175, 230, 675)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_similar_spans(seed):
+    rng = np.random.default_rng(seed)
+    equal = rng.random(120) < rng.choice([0.6, 0.75, 0.85])
+    found = passages.similar(equal, 0.8, 10)
+    assert all(equal[x:y].mean() >= 0.8 - 1e-6 and y - x >= 10 for x, y in found) and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+    enough = [j - i for i in range(120) for j in range(i + 10, 121) if equal[i] and equal[j - 1] and equal[i:j].sum() >= 0.8 * (j - i)]
+    assert max((y - x for x, y in found), default=0) == max(enough, default=0)
