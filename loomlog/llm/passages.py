@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.common import written
 
-K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN = 8, 12, 16.0, 0.25, 48, 256, 64
+K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN = 5, 5, 16.0, 0.25, 48, 256, 64
 SPLIT = re.compile(r"\S+")
 
 
@@ -313,8 +313,9 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
             for key, text, own_, blocks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (word_hashes(text.as_py(), known) & np.uint64(0xFFFF)).astype("<u2")
                 for c in own_.as_py() or ():
-                    start = max(0, c["a"][0] - MARGIN - BLOCK)
-                    rows.append((key, c["source"], c["block"], start, words[start : c["a"][-1] + K + MARGIN + BLOCK].tobytes(), c["a"], c["b"]))
+                    before, after = c["b"][0] - c["block"] * BLOCK + MARGIN, (c["block"] + 1) * BLOCK + MARGIN - c["b"][-1]  # the source's window
+                    start = max(0, c["a"][0] - before - MARGIN)
+                    rows.append((key, c["source"], c["block"], start, words[start : c["a"][-1] + K + after + MARGIN].tobytes(), c["a"], c["b"]))
                 for block in blocks or ():
                     start = max(0, block * BLOCK - MARGIN)
                     rows.append((None, key, block, start, words[start : (block + 1) * BLOCK + MARGIN + K].tobytes(), None, None))

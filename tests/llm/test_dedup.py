@@ -211,3 +211,13 @@ def test_similar_spans(seed):
     assert all(equal[x:y].mean() >= 0.8 - 1e-6 and y - x >= 10 for x, y in found) and all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
     enough = [j - i for i in range(120) for j in range(i + 10, 121) if equal[i] and equal[j - 1] and equal[i:j].sum() >= 0.8 * (j - i)]
     assert max((y - x for x, y in found), default=0) == max(enough, default=0)
+
+
+def test_every_eighth_word_changed(spark):
+    """Passages of 60 words with one word in eight changed, which share no run of eight words."""
+    rng = random.Random(23)
+    sources = [rng.choices(VOCABULARY, k=200) for _ in range(20)]
+    docs = [(i, " ".join(s)) for i, s in enumerate(sources)]
+    docs += [(100 + i, " ".join(w if j % 8 else f"n{i}-{j}" for j, w in enumerate(s[70:130]))) for i, s in enumerate(sources)]
+    rows = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["source_doc_id"]) for r in rows) == [(100 + i, i) for i in range(20)]
