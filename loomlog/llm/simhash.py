@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,8 @@ def fingerprint(text: str, shingle: int = 3, block: int = 1 << 16) -> int:
     grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else iter([words])
     n, ones = max(1, len(words) - shingle + 1), np.zeros(64, np.int64)
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for start in range(0, n, block):
-        hashes = [digest(join(g), 42) for g, _ in zip(grams, range(min(block, n - start)), strict=False)] if n > block else [digest(join(g), 42) for g in grams]
+    for _ in range(0, n, block):
+        hashes = [digest(join(g), 42) for g in islice(grams, block)]
         bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")

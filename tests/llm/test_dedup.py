@@ -55,6 +55,13 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text or "", block=7) == brute_fingerprint(text)
 
 
+def test_fingerprint_by_blocks():
+    rng = random.Random(29)
+    for _ in range(20):
+        text = " ".join(rng.choices(VOCABULARY, k=250))
+        assert simhash.fingerprint(text, block=7) == simhash.fingerprint(text) == brute_fingerprint(text)
+
+
 def test_golay_keys_cover_two_errors():
     rng = random.Random(0)
     a = [rng.getrandbits(64) for _ in range(1500)]
