@@ -32,7 +32,7 @@ from itertools import combinations, islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlog.llm.common import written
@@ -107,15 +107,19 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed long."""
+    """``doc_id, fp, h``: the fingerprint as a signed long, and a hash of the text."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], names=["doc_id", "fp", "h"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(mark, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("h"))
+    return rows.mapInArrow(mark, "doc_id long, fp long, h long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def links(prints: DataFrame, cold: int = 16) -> DataFrame:
@@ -143,22 +147,32 @@ def links(prints: DataFrame, cold: int = 16) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every document."""
-    marked = written(fingerprints(docs, shingle), "fingerprints")
-    prints = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+def _placed(marked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``fp, least, root`` for each distinct fingerprint, and ``_root, least`` for each group: ``least`` is the least
+    row (``no_id, doc_id, h``), one with an id where there is any."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    prints = written(marked.groupBy("fp").agg(F.min(row).alias("least")), "prints")
     roots = components(links(prints))
     placed = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     placed = written(placed, "placed")
-    best = written(placed.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("component_id")), "best")
-    of_print = written(placed.join(best, placed["root"] == best["_root"]).select(F.col("fp").alias("_fp"), "component_id"), "of-print")
+    return placed, written(placed.groupBy(F.col("root").alias("_root")).agg(F.min("least").alias("least")), "best")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` for every document."""
+    marked = written(fingerprints(docs, shingle), "fingerprints")
+    placed, best = _placed(marked)
+    of_print = written(placed.join(best, placed["root"] == best["_root"]).select(F.col("fp").alias("_fp"), best["least"]["doc_id"].alias("component_id")), "of-print")
     out = marked.join(of_print, marked["fp"] == of_print["_fp"])
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def survivors(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the least id. Rows without an id have no group of
-    their own to stand for unless none in the group has one; then one of them stays."""
-    groups = near_duplicates(docs, shingle)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near-duplicates: the one with the least id (and hash of its text, where rows repeat
+    an id). Rows without an id have no group of their own to stand for unless none in the group has one; then one of
+    them stays."""
+    _, best = _placed(written(fingerprints(docs, shingle), "fingerprints"))
+    stay = best.select(F.col("least.doc_id").alias("_stay"), F.col("least.h").alias("_text"))
+    hashed = docs.withColumn("_h", text_hash())
+    kept = hashed.join(stay, (hashed["_h"] == stay["_text"]) & hashed["doc_id"].cast("long").eqNullSafe(stay["_stay"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_h"]).select(docs.columns)

@@ -119,6 +119,15 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_survivors_without_or_with_repeated_ids(spark):
+    rng = random.Random(31)
+    texts = [" ".join(rng.choices(VOCABULARY, k=80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[4]), (None, texts[4]), (None, texts[5]), (9, texts[5])]
+    got = simhash.survivors(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 # -- passages
 
 
