@@ -292,8 +292,9 @@ class Db:
         found = [e for e in self._by_value().get((a, frozen(v)), ()) if self._passes(Datom(e, a, v))]
         if home := self.home(a):
             table, column, to = home
-            rows = table.frame.where(self.value_of(table, column, to) == literal(v)).select(table.eid(self.offset_of(table)).alias("e")).take(1000)
-            found += [r["e"] for r in rows if (r["e"], frozen(v)) not in self.gone.get(a, ()) and r["e"] not in found]
+            rows = table.frame.where(self.value_of(table, column, to) == literal(v)).select(table.eid(self.offset_of(table)).alias("e")).toLocalIterator()
+            gone, known = self.gone.get(a, ()), set(found)
+            found += [r["e"] for r in rows if (r["e"], frozen(v)) not in gone and r["e"] not in known]
         return sorted(found)
 
     def referring(self, e: int) -> list[tuple[int, Any]]:

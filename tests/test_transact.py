@@ -158,3 +158,14 @@ def test_schema_errors(spark):
     for bad in ({K("x"): {K("db/isComponent"): True}}, {K("x"): {K("db/cardinality"): K("some")}}, {K("t"): {K("db/tupleAttrs"): []}}):
         with pytest.raises(DatalogError):
             empty_db(bad, spark)
+
+
+def test_more_than_a_thousand_references(spark):
+    """Retraction, reverse attributes and pulls without a limit reach every reference to an entity."""
+    n = 1200
+    own = empty_db({}, spark).with_table("owner", spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string"), "id", {"name": "name"})
+    own = own.with_table("thing", spark.range(n).selectExpr("id", "1L AS owner_id"), "id", {"owner": "owner_id"}, {"owner": "owner"})
+    e = own.entid([K("owner/name"), "a"])
+    assert len(own.having(K("thing/owner"), e)) == len(entity(own, e).get(K("thing/_owner"))) == n
+    assert len(pull(own, "[(:thing/_owner :limit nil)]", e)[K("thing/_owner")]) == n and len(pull(own, "[:thing/_owner]", e)[K("thing/_owner")]) == 1000
+    assert db_with(own, [[K("db/retractEntity"), e]]).having(K("thing/owner"), e) == []
