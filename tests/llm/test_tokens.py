@@ -34,8 +34,19 @@ def test_encoder_is_the_library():
     want = [np.array(e.ids, "<u4").tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
     encoder = Encoder(WORDS)
     assert list(encoder.batch(texts)) == want and list(encoder.batch(texts)) == want
-    encoder.LIMIT = 3
-    assert list(encoder.batch(texts)) == want
+    for store in (encoder.words, encoder.odd):
+        store.limit = 3
+    encoder.CHARACTERS = 200
+    assert list(encoder.batch(texts)) == want and list(encoder.batch(texts[::-1])) == want[::-1]
+    assert len(encoder.words.slot) < 400 and list(encoder.batch([])) == []
+
+
+def test_encoder_on_other_files():
+    """A vocabulary of another shape is not cut here."""
+    texts = [*ODD, "some words, more words"]
+    encoder = Encoder(BYTES)
+    assert encoder.pattern is None
+    assert list(encoder.batch(texts)) == [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)]
 
 
 @settings(max_examples=60, deadline=None)
@@ -43,7 +54,15 @@ def test_encoder_is_the_library():
 def test_elias_fano(gaps):
     values = np.cumsum(gaps) if gaps else np.empty(0, int)
     coded = token_store.EliasFano.of(values)
-    assert coded.all().tolist() == values.tolist() and [coded[i] for i in range(len(values))] == values.tolist()
+    assert [coded.select(i) for i in range(len(values))] == values.tolist()
+    some = np.random.default_rng(0).permutation(len(values))
+    assert coded.select_many(some).tolist() == values[some].tolist() and coded.select_many(np.arange(len(values))).tolist() == values.tolist()
+
+
+def test_elias_fano_far_apart():
+    values = np.cumsum(np.random.default_rng(1).integers(0, 2, 5000) * np.random.default_rng(2).integers(0, 10**9, 5000))
+    coded = token_store.EliasFano.of(values)
+    assert coded.select_many(np.arange(5000)).tolist() == values.tolist()
 
 
 def test_elias_fano_space():
@@ -95,14 +114,17 @@ def test_solver(seed):
     rng = np.random.default_rng(seed)
     lengths = np.clip(rng.lognormal(5, 1, 3000).astype(int), 1, 512)
     hist = np.bincount(lengths, minlength=513)
-    kinds = packing.solve(hist, 512, rounds=200)
+    solution = packing.solve(hist, 512)
+    kinds = solution.kinds
     held = np.zeros(513, int)
     for pattern, n in kinds:
         assert n > 0 and sum(x * k for x, k in pattern) <= 512
         for x, k in pattern:
             held[x] += k * n
     assert (held == hist).all()
-    assert sum(n for _, n in kinds) <= 1.01 * -(-int(lengths.sum()) // 512) + 1
+    bound = lengths.sum() / 512
+    assert bound - 1e-6 <= solution.value <= 1.01 * bound + 1  # the program's value against the bound by size
+    assert solution.sequences <= 1.005 * bound + 1 and solution.share >= 0.85
     slots, seen = packing.Slots(kinds), set()
     for x in np.flatnonzero(hist):
         sequence, offset = slots.place(int(x), np.arange(hist[x]))
@@ -110,6 +132,20 @@ def test_solver(seed):
     assert len(seen) == int(lengths.sum())
 
 
+def test_program_covers_every_length():
+    """Every length is covered exactly; where half the pieces are over half a sequence their number is the bound."""
+    rng = np.random.default_rng(5)
+    hist = np.bincount(np.concatenate([rng.integers(257, 513, 2000), rng.integers(1, 40, 500)]), minlength=513)
+    used = packing.program(hist, 512)
+    held = np.zeros(513)
+    for pattern, times in used.items():
+        assert sum(x * k for x, k in pattern) <= 512 and times > 0
+        for x, k in pattern:
+            held[x] += k * times
+    assert held == pytest.approx(hist) and 2000 - 1e-6 <= sum(used.values()) <= 2001
+    assert packing.solve(hist, 512).sequences in (2000, 2001) and packing.solve(np.zeros(513, int), 512).sequences == 0
+
+
 def test_knapsack():
     rng = random.Random(0)
     for _ in range(30):
