@@ -13,7 +13,8 @@ the token ids.
 Segments are rows of a Parquet table in the shared folder: Spark's commit makes a lost or repeated task harmless, and
 any store that Spark can write to will do. Rows are range-partitioned by document id before they are encoded; a task
 writes its range's segments, each closed at ``segment_ids`` ids, so no task holds more than one segment and one
-document. A reader adds, for each partition, the ids of the partitions before it (one number each on the driver).
+document. Where each partition's ids begin in the whole corpus is another Elias-Fano sequence (a few bits for each
+partition) that readers get; a document's place is two selects, one there and one in its segment.
 
 Defined results for odd input: a null text is empty, so it has only its end id; a null document id sorts first; rows
 that repeat an id are all kept, ordered by text; an empty table gives an empty file table; other columns are not read.
@@ -37,6 +38,8 @@ from loomlog.llm.tokens import encoder
 MAGIC = b"LSG1"
 HEAD = struct.Struct("<4sIQBBIII")
 SAMPLE = 512
+#: The place of the j-th one of a byte.
+BIT_OF_BYTE = np.array([([b for b in range(8) if byte >> b & 1] + [0] * 8)[:8] for byte in range(256)], np.int64)
 
 
 class EliasFano:
@@ -74,13 +77,38 @@ class EliasFano:
             low |= (int(self.low[place >> 3]) >> (place & 7) & 1) << j
         return high << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The values at many places: all of them go on together, from their samples, by words of 64 bits with their
+        number of ones, then by bytes, then by a table of the bits of a byte."""
+        i = np.asarray(i, np.int64)
+        if not len(i):
+            return np.empty(0, np.int64)
+        words = np.frombuffer(self.high.tobytes() + bytes(-len(self.high) % 8), "<u8")
+        at, left = self.samples[i // SAMPLE].astype(np.int64), i % SAMPLE
+        word_at = at >> 6
+        word = words[word_at] >> (at & 63).astype(np.uint64) << (at & 63).astype(np.uint64)
+        going = np.arange(len(i))
+        while len(going):
+            ones = np.bitwise_count(word[going])
+            going, ones = going[left[going] >= ones], ones[left[going] >= ones]
+            left[going] -= ones
+            word_at[going] += 1
+            word[going] = words[word_at[going]]
+        byte = np.zeros(len(i), np.int64)
+        for _ in range(7):
+            ones = np.bitwise_count(word & np.uint64(255))
+            on = left >= ones
+            left, word, byte = np.where(on, left - ones, left), np.where(on, word >> np.uint64(8), word), byte + on
+            if not on.any():
+                break
+        places = word_at * 64 + byte * 8 + BIT_OF_BYTE[(word & np.uint64(255)).astype(np.int64), left]
+        high = places - i
         if not self.low_bits:
             return high
-        low = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, self.low_bits)
-        return high << self.low_bits | low.astype(np.int64) @ (1 << np.arange(self.low_bits))
+        packed = np.frombuffer(self.low.tobytes() + bytes(8), np.uint8)
+        first = i * self.low_bits
+        near = packed[(first >> 3)[:, None] + np.arange(8)].copy().view("<u8").ravel() >> (first & 7).astype(np.uint64)
+        return high << self.low_bits | (near & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
 
     def __getitem__(self, i: int) -> int:
         return self.select(i)
@@ -122,8 +150,8 @@ class Segment:
         return self.ids[self.ends[i - 1] if i else 0 : self.ends[i]]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
-        """Document id, start within the segment and ids, of each."""
-        ends = self.ends.all()
+        """Document id, start within the segment and ids, of each; where they begin and end is selected."""
+        ends = self.ends.select_many(np.arange(self.n))
         starts = np.concatenate([[0], ends[:-1]]) if self.n else ends
         for key, null, a, b in zip(self.keys.tolist(), self.nulls.tolist(), starts.tolist(), ends.tolist(), strict=True):
             yield None if null else key, a, self.ids[a:b]
@@ -167,15 +195,14 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, segment_ids: int = 2_000
 def read(files: DataFrame) -> DataFrame:
     """Every document of a table of segments: ``doc_id, start, n_tokens, ids_crc32``, in the whole corpus's positions."""
     totals = {r["part"]: r["n"] for r in files.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}  # one number a partition
-    base, so_far = {}, 0
-    for part in sorted(totals):
-        base[part], so_far = so_far, so_far + totals[part]
+    parts = 1 + max(totals, default=-1)
+    base = EliasFano.of(np.cumsum([0, *(totals.get(p, 0) for p in range(parts))]))  # where each partition's ids begin
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, start, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                first = base[part] + start
+                first = base.select(part) + start
                 rows = [(key, first + at, len(ids), zlib.crc32(ids.astype("<u4"))) for key, at, ids in Segment(blob.as_py()).documents()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
