@@ -1,12 +1,20 @@
 """Best-fit packing of token sequences by a configuration linear program.
 
 Only lengths matter, so the program is solved over their histogram (at most ``capacity`` numbers, whatever the corpus).
-A configuration is a multiset of lengths that fits into a sequence; the program asks for the fewest configurations that
-cover the histogram. Multiplicative weights solve it: each length has a weight, the pricing step finds the configuration
-of greatest total weight by knapsack dynamic programming, and the weights of the lengths it holds fall. The fractional
-solution is rounded down to whole configurations, and what it leaves over is packed best-fit decreasing, still by
-counts: a length goes to the fullest kind of sequence that has room. The plan is a table of slots: the j-th piece of a
-length has its sequence and offset by arithmetic.
+A configuration is a multiset of lengths that fits into a sequence; the program asks for the fewest configurations, in
+fractions, that cover every length of the histogram, full pieces and the shortest ones too. Multiplicative weights solve
+it: a length's weight is its share of a sequence (the dual price that is always feasible) times a factor that falls
+exponentially with the part of it that is covered. The pricing step finds the configuration of greatest weight by
+knapsack dynamic programming over capacities, among the long end and a random choice of lengths that favours heavy ones
+(so a step costs the same for any histogram), and uses it until one of its lengths has had its next share. Every step
+ends a share of a length, so the number of steps is at most ``shares`` times the number of lengths, and the solution
+covers each length exactly.
+
+Rounding goes over the whole solution, greatest parts first, each to the nearest whole number that the pieces left
+allow. Only what rounding loses is packed best-fit decreasing, by counts, into the rooms that configurations leave and
+into new sequences. The solution is rounded at a few scales near 1, and the fewest sequences win; ``Solution.share`` says
+which part of the sequences the program opened. The plan is a table of slots: the j-th piece of a length has its sequence
+and offset by arithmetic.
 
 Pieces get their number among those of their length without a large group: each task numbers its own, and a prefix sum
 over (length, task) counts gives each task's first number. The numbered pieces are written to the shared folder once,
@@ -23,6 +31,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,20 +46,20 @@ from loomlog.llm.tokens import encoder
 Pattern = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, copies: np.ndarray, capacity: int) -> Counter:
+def knapsack(lengths: list[int], values: list[float], copies: list[int], capacity: int) -> Counter:
     """The multiset of greatest value within ``capacity``, by dynamic programming over capacities. Copies of a length
     are bounded; each is split into 1, 2, 4, ... at a time."""
     best = np.zeros(capacity + 1)
     items, took = [], []
-    for length, value, most in zip(lengths.tolist(), values.tolist(), copies.tolist(), strict=True):
+    for length, value, most in zip(lengths, values, copies, strict=True):
         k, left = 1, min(most, capacity // length)
         while left > 0:
             n = min(k, left)
             left, k = left - n, k * 2
             w = n * length
             other = best[: capacity + 1 - w] + n * value
-            better = other > best[w:] + 1e-12
-            best[w:][better] = other[better]
+            better = other > best[w:]
+            best[w:] = np.where(better, other, best[w:])
             items.append((length, n, w))
             took.append(better)
     at, found = int(np.argmax(best)), Counter()
@@ -61,29 +70,32 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, copies: np.ndarray, capaci
     return found
 
 
-def configurations(demand: np.ndarray, capacity: int, rounds: int, rate: float) -> list[tuple[Counter, float]]:
-    """A fractional cover of ``demand`` (by length class) by configurations, found by multiplicative weights: price the
-    best configuration, use it a little, and lower the weights of what it covers. Scaled to cover the median class."""
-    sizes = np.flatnonzero(demand)
-    if not len(sizes):
-        return []
-    need = demand[sizes].astype(float)
-    at_most = np.full(len(sizes), capacity)
-    covered = np.zeros(len(sizes))
-    used: Counter = Counter()
-    kinds: dict[Pattern, Counter] = {}
-    for _ in range(rounds):
-        weight = np.exp(-rate * (covered - covered.min())) / need
-        pattern = knapsack(sizes, weight, at_most, capacity)
-        count = np.array([pattern[int(x)] for x in sizes], dtype=float)
-        held = count > 0
-        step = float(np.min(need[held] / count[held]))
-        key = tuple(sorted(pattern.items(), reverse=True))
-        kinds[key] = pattern
-        used[key] += step
-        covered += step * count / need
-    scale = 1.0 / float(np.median(covered[covered > 0]))
-    return [(kinds[key], x * scale) for key, x in sorted(used.items(), key=lambda y: (-y[1], y[0]))]
+def program(hist: np.ndarray, capacity: int, shares: int = 2, rate: float = 0.5, block: int = 96, bias: float = 1.02) -> dict[Pattern, float]:
+    """The fractional solution: configurations and how often each is used; together they hold every length as often as
+    ``hist``. ``bias``: a power by which long pieces count for more, so that short ones are left to fill the last."""
+    need = hist.astype(float)
+    used: dict[Pattern, float] = defaultdict(float)
+    if need[capacity]:
+        used[((capacity, 1),)] = float(need[capacity])
+    left = need.copy()
+    left[capacity] = 0
+    price = (np.arange(capacity + 1) / capacity) ** bias
+    chance = np.random.default_rng(0)
+    while len(live := np.flatnonzero(left)):
+        covered = 1 - left[live] / need[live]
+        weight = dict(zip(live.tolist(), (price[live] * np.exp(-rate * covered)).tolist(), strict=True))
+        if len(live) > block:
+            score = np.exp(-rate * covered) * np.sqrt(chance.random(len(live)))
+            live = np.union1d(live[np.argpartition(-score, block)[:block]], live[-1:])
+        lengths = live[::-1].tolist()
+        found = knapsack(lengths, [weight[x] for x in lengths], [max(1, int(left[x])) for x in lengths], capacity)
+        step = min(min(left[x], need[x] / shares) / k for x, k in found.items())
+        for x, k in found.items():
+            left[x] -= step * k
+            if left[x] < 1e-9 * need[x]:
+                left[x] = 0
+        used[tuple(sorted(found.items(), reverse=True))] += step
+    return used
 
 
 class Rooms:
@@ -130,61 +142,41 @@ class Rooms:
         return out
 
 
-def classes(hist: np.ndarray, capacity: int, grain: int, least: int) -> np.ndarray:
-    """Pieces from ``least`` on by class: class c holds the ``grain`` lengths up to c * grain."""
-    demand = np.zeros(capacity // grain + 1, np.int64)
-    np.add.at(demand, -(-np.arange(len(hist))[least:] // grain), hist[least:])
-    return demand
-
-
-def rounded(hist: np.ndarray, capacity: int, grain: int, least: int, found: list[tuple[Counter, float]], part: float) -> Counter:
-    """``part`` of the program's solution ``found``, rounded down; each whole configuration takes the longest pieces of
-    its classes, and best fit packs what is left, short pieces included, into the rooms."""
-    left = hist.copy()
-    demand = classes(hist, capacity, grain, least)
-    runs = {c: [[x, int(hist[x])] for x in range(max(least, (c - 1) * grain + 1), min(c * grain, capacity) + 1) if hist[x]] for c in np.flatnonzero(demand).tolist()}
-    supply = demand.copy()
-    rooms = Rooms(capacity)
-    for pattern, times in found:
-        n = min([int(times * part), *(int(supply[c]) // k for c, k in pattern.items())])
-        for c, k in pattern.items():
-            supply[c] -= n * k
-        while n > 0:  # as many at a time as have the same lengths
-            pieces_, use = Counter(), n
-            for c, k in pattern.items():
-                runs[c] = [r for r in runs[c] if r[1]]
-                if runs[c][-1][1] >= k:
-                    use = min(use, runs[c][-1][1] // k)
-                    pieces_[runs[c][-1][0]] += k
-                else:
-                    use, want = 1, k
-                    for r in reversed(runs[c]):
-                        t = min(want, r[1])
-                        pieces_[r[0]] += t
-                        want -= t
-                        if not want:
-                            break
-            for x, k in pieces_.items():
-                left[x] -= use * k
-                next(r for r in runs[-(-x // grain)] if r[0] == x)[1] -= use * k
-            rooms.put(capacity - sum(x * k for x, k in pieces_.items()), tuple(sorted(pieces_.items(), reverse=True)), use)
-            n -= use
-    return rooms.best_fit(left)
-
-
-def solve(hist: np.ndarray, capacity: int, grain: int = 16, least: int = 256, rounds: int = 1000, rate: float = 4.0) -> list[tuple[Pattern, int]]:
-    """``hist[l]``: pieces of length l, 1 to capacity. Returns kinds of sequences with how many of each; together they
-    hold every piece once. The solution is rounded from several parts of its scale, which leave more or less to best
-    fit; the fewest sequences win."""
-    left = hist.astype(np.int64).copy()
-    whole = Counter({((capacity, 1),): int(left[capacity])} if left[capacity] else {})
-    left[capacity] = 0
-    grain, least = min(grain, capacity), min(least, capacity)
-    while capacity % grain:
-        grain -= 1
-    found = configurations(classes(left, capacity, grain, least), capacity // grain, rounds, rate)
-    tried = [rounded(left, capacity, grain, least, found, part) for part in (1.0, 0.75, 0.5, 0.25, 0.1)]
-    return sorted((whole + min(tried, key=lambda kinds: sum(kinds.values()))).items(), reverse=True)
+@dataclass
+class Solution:
+    """``kinds``: kinds of sequences with how many of each. ``value``: the program's. ``opened``: how many sequences are
+    configurations of the program; best fit opened the others."""
+
+    kinds: list[tuple[Pattern, int]]
+    value: float
+    opened: int
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.kinds)
+
+    @property
+    def share(self) -> float:
+        return self.opened / self.sequences if self.kinds else 1.0
+
+
+def rounded(hist: np.ndarray, capacity: int, used: dict[Pattern, float], scale: float) -> Solution:
+    """The solution times ``scale`` in whole numbers; what that leaves is packed by best fit."""
+    left, rooms, opened = hist.astype(np.int64).copy(), Rooms(capacity), 0
+    for pattern, times in sorted(used.items(), key=lambda y: (-y[1], y[0])):
+        n = min(int(times * (1.0 if pattern[0][0] == capacity else scale) + 0.5), *(int(left[x]) // k for x, k in pattern))
+        if n > 0:
+            for x, k in pattern:
+                left[x] -= n * k
+            rooms.put(capacity - sum(x * k for x, k in pattern), pattern, n)
+            opened += n
+    return Solution(sorted(rooms.best_fit(left).items(), reverse=True), sum(used.values()), opened)
+
+
+def solve(hist: np.ndarray, capacity: int, scales: tuple[float, ...] = (1.0, 0.97, 0.94, 0.9), **how: float) -> Solution:
+    """``hist[l]``: pieces of length l, 1 to capacity. The kinds of sequences hold every piece once."""
+    used = program(hist, capacity, **how)
+    return min((rounded(hist, capacity, used, scale) for scale in scales), key=lambda s: s.sequences)  # the first of the fewest
 
 
 class Slots:
@@ -242,7 +234,7 @@ def pack(rows: DataFrame, capacity: int, **solver: float) -> DataFrame:
     hist = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
         hist[r["length"]] = r["n"]
-    slots = spark.sparkContext.broadcast(Slots(solve(hist, capacity, **solver)))
+    slots = spark.sparkContext.broadcast(Slots(solve(hist, capacity, **solver).kinds))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     numbered = rows.join(bases, ["part", "length"])
