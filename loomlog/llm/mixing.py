@@ -65,19 +65,21 @@ def position(share: Column, start: Column, end: Column) -> Column:
     return F.when(slope == 0, share).otherwise((root - start) / slope)
 
 
-def plan(docs: DataFrame, slices: int = 4096) -> DataFrame:
+def plan(docs: DataFrame, slices: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with ``text``, ``source`` and ``doc_id`` to one row a document: ``doc_id, size, source, source_size,
-    target, copies, taken, positions`` (an array of times, one for each copy). ``slices``: a power of 16, the cuts of
+    target, copies, taken, positions`` (an array of times, one for each copy) and the columns ``carry``. ``slices``: a power of 16, the cuts of
     each source; about rows / slices of a source are together in one task.
 
     What whole documents leave open at the end of a source's target (up to half the document that lies across it) is
     then made up by small documents: of those of at most a quarter of the gap, in the same order, as many get a copy
     more, or less, as fill it."""
     digits = {16: 1, 256: 2, 4096: 3, 65536: 4}[slices]
+    empty = F.md5(F.lit(""))  # what null ids hash to: their slice is cut by their texts' hashes
+    cut = F.when(F.col("h") < empty, "0").when(F.col("h") > empty, "2").otherwise(F.concat(F.lit("1"), F.substring("h2", 1, digits)))
     rows = written(docs.select(
-        "doc_id", "source", words(F.col("text")).alias("size"),
+        *carry, "doc_id", "source", words(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("h"), F.md5(F.coalesce("text", F.lit(""))).alias("h2"),
-    ).withColumn("slice", F.substring("h", 1, digits)), "sizes")
+    ).withColumn("slice", F.concat(F.substring("h", 1, digits), cut)), "sizes")
     goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     rows = _with(on_line(rows, "size", "before"), goal, ["source_size", "target", "weight"])
     rows = rows.withColumn("middle", F.col("before") + F.col("size") / 2.0)
@@ -94,7 +96,7 @@ def plan(docs: DataFrame, slices: int = 4096) -> DataFrame:
     share = lambda k: F.least((F.col("middle") + (k - 1) * F.col("source_size")) / F.col("target"), F.lit(1.0))
     places = F.transform(F.sequence(F.lit(1), F.col("copies")), lambda k: position(share(k), F.lit(1.0), end))
     return rows.select(
-        "doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
+        *carry, "doc_id", "size", "source", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
         F.when(F.col("copies") > 0, places).otherwise(F.array().cast("array<double>")).alias("positions"),
     )
 
@@ -129,9 +131,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def apply(docs: DataFrame) -> DataFrame:
-    """``docs`` repeated as the plan says, with the same columns. A row finds its plan by id and source; of rows that
-    share both, each is repeated as often as the one among them that is taken most."""
-    names = docs.columns
-    takes = plan(docs).where("copies > 0").groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source")).agg(F.max("copies").alias("_mix_n"))
-    joined = docs.join(takes, docs["doc_id"].eqNullSafe(takes["_mix_id"]) & docs["source"].eqNullSafe(takes["_mix_source"]))
-    return joined.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*names)
+    """``docs`` repeated as the plan says, with the same columns, range-sorted by training position: a row for each copy
+    at its own time. Rows are numbered in a written table first, so that each finds its own plan, whatever its id."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "rows")
+    planned = plan(rows.select("key", "row.doc_id", "row.source", "row.text"), carry=("key",))
+    copies = planned.select(F.col("key").alias("_key"), F.posexplode("positions").alias("epoch", "position"))
+    return rows.join(copies, rows["key"] == copies["_key"]).orderBy("position", "key", "epoch").select("row.*")

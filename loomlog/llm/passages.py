@@ -385,35 +385,40 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
 
 def without_passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:
     """``docs`` with repeated passages cut from all documents but the one of least id that has them; a document that
-    loses all its words goes. Same columns; ``n_chars`` follows the text."""
+    loses all its words goes. Same columns, whatever their names; ``n_chars`` follows the text. Rows with a null id or
+    a null or empty text stay as they are; rows that repeat an id lose the same words."""
     found = written(passages(docs, min_words, min_identity).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans")), "spans")
-    joined = docs.join(found, docs["doc_id"] == found["_id"], "left").drop("_id")
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_key"))
     names = docs.columns
+    free = "_" * (1 + max(map(len, names)))  # no column has this name
+    joined = whole.join(found, whole["_key"] == found["_id"], "left").select(F.col("_spans").alias(free), "_row.*")
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, texts, keep = batch.column(len(names)), batch.column(text_at).to_pylist(), []
+            spans, texts, keep = batch.column(0), batch.column(1 + text_at).to_pylist(), []
             changed = False
             for i, text in enumerate(texts):
                 own = spans[i].as_py()
                 keep.append(True)
-                if own:
+                if own and text:
                     changed = True
                     places = [m.span() for m in SPLIT.finditer(text)]
                     parts, at = [], 0
                     for s in sorted(own, key=lambda s: s["start_word"]):
+                        if s["start_word"] >= len(places):
+                            break
                         a, b = max(at, places[s["start_word"]][0]), places[min(s["end_word"], len(places)) - 1][1]
                         if b > at:
                             parts.append(text[at:a])
                             at = b
                     texts[i] = "".join([*parts, text[at:]]).strip()
                     keep[i] = bool(texts[i])
-            columns = [batch.column(i) for i in range(len(names))]
+            columns = [batch.column(1 + i) for i in range(len(names))]
             if changed:
                 columns[text_at] = pa.array(texts, pa.string())
                 if chars_at >= 0:
-                    columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema.types[chars_at])
+                    columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema.types[1 + chars_at])
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return joined.mapInArrow(cut, docs.schema)

@@ -1,19 +1,21 @@
 """A quality and toxicity classifier from overlapping weak labellers.
 
 Two questions are asked of a document: is it junk, and is it toxic. For each, several heuristic labellers vote for, vote
-against, or abstain; an annotation, where there is one, is one more labeller. Expectation maximisation estimates how
-reliable each labeller is and how common the class, without trusting any of them; its posterior probabilities are the
-labels that train a hashed linear scorer (logistic, with an L1 penalty, on hashed words, word beginnings and binned
-statistics of the text). Every document is scored by the two scorers, in one pass over its whole text, and is rejected
-where either says so.
+against, or abstain; an annotation, where there is one, is one more labeller and has no other standing. Expectation
+maximisation estimates how reliable each labeller is and how common the class is, from their agreements alone; its posterior probabilities, which overrule annotations that better labellers contradict,
+are the labels that train a hashed linear scorer (logistic, with an L1 penalty, on hashed words, word beginnings and
+binned statistics of the text). Every document is scored by the two scorers, in one pass over its whole text, and is
+rejected where either says so.
 
-Fitting uses a bounded sample: ``sample_rows`` annotated documents, those with the least hashes of their ids (or, where
-none is annotated, as many documents). Their hashed features, not their texts, go to the driver. Lexicons that labellers
-use are taken from one half of the sample and vote on the other half.
+Fitting uses a bounded sample: ``sample_rows`` annotated documents and ``more_rows`` others, those with the least hashes
+of their ids. Their hashed features, not their texts, go to the driver. Lexicons that labellers use are taken from one
+half of the sample and vote on the other half. A document on which every labeller abstains, or about which they leave
+doubt, trains nothing.
 
 Defined results for odd input: a null or empty text is junk (score 1) and not toxic; null ids are scored (they have no
-annotation); rows that repeat are scored each; of several annotations of an id the greatest counts; without documents
-there are no rows; without annotations the heuristics alone label; other columns are not read.
+annotation); rows that repeat are scored each, and of several texts of a sampled id the least is used; of several
+annotations of an id the greatest counts; without documents there are no rows; without annotations the heuristics alone
+label; other columns are not read.
 """
 
 from __future__ import annotations
@@ -85,32 +87,37 @@ def features(texts: list[str | None]) -> Iterator[tuple[list[int], list[int], li
         yield sorted({f for w in words for f in known_words(w)}), style(text), junk_votes(text), len(words & INSULTS)
 
 
-def expectation_maximisation(votes: np.ndarray, rounds: int = 60, annotator: int | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """``votes``: rows by labellers, -1, 0 or 1. Returns each row's probability of the class, each labeller's
-    probabilities of each vote in either class, and how common the class is. Equal rows of votes are counted once.
-    ``annotator``: a column that is believed beforehand, as if a hundred times the rows had shown it to be right 9999
-    times in 10000 where it votes; heuristics that mostly abstain would else outvote it."""
+def expectation_maximisation(votes: np.ndarray, silent: bool = True, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+    """``votes``: rows by labellers, -1, 0 or 1. Returns each row's probability of the class, each labeller's accuracy
+    where it votes, and how common the class is. No labeller is told from another beforehand. Equal rows of votes are
+    counted once.
+
+    ``silent``: an abstention says nothing, and a labeller is as often right about either class. Otherwise a labeller
+    has a chance of each vote, abstention included, in either class: for labellers that nearly always vote."""
     patterns, inverse, n = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
-    inverse = inverse.ravel()
     p = np.clip(0.5 + patterns.sum(axis=1) / (2.0 * np.maximum(1, np.abs(patterns).sum(axis=1))), 0.02, 0.98)
     p = np.where((patterns == 1).any(axis=1), np.maximum(p, 0.6), p)
-    if annotator is not None:
-        p = np.choose(patterns[:, annotator] + 1, [0.02, p, 0.98])
-    belief = np.zeros((2, votes.shape[1], 3))
-    if annotator is not None and n.sum():
-        given = 1 - n[patterns[:, annotator] == 0].sum() / n.sum()
-        belief[1, annotator] = [0.0001 * given, 1 - given, 0.9999 * given]
-        belief[0, annotator] = belief[1, annotator, ::-1]
-        belief *= 100 * n.sum()
-    chance, prior = np.full((2, votes.shape[1], 3), 1 / 3), 0.1
-    for _ in range(rounds):
-        for c, weight in ((1, p * n), (0, (1 - p) * n)):
-            for v in (-1, 0, 1):
-                chance[c, :, v + 1] = (weight @ (patterns == v) + 0.1 + belief[c, :, v + 1]) / (weight.sum() + 0.3 + belief[c].sum(axis=1))
-        prior = float(np.clip((p * n).sum() / n.sum(), 1e-4, 0.9))
-        says = np.log(chance[:, np.arange(votes.shape[1])[None, :], patterns + 1]).sum(axis=2)
-        p = 1 / (1 + np.exp(np.clip(says[0] - says[1] + np.log((1 - prior) / prior), -40, 40)))
-    return p[inverse], chance, prior
+    voted = patterns != 0
+    seen = n * voted.any(axis=1)
+    accuracy, prior = np.full(votes.shape[1], 0.8), 0.1
+    for i in range(rounds):
+        if silent:
+            if i:
+                right = np.where(patterns == 1, p[:, None], 1 - p[:, None]) * voted
+                accuracy = np.clip((n @ right + 4 * 0.8) / (n @ voted + 4), 0.05, 0.9999)
+                prior = float(np.clip((p * seen).sum() / max(1, seen.sum()), 1e-4, 0.9))
+            z = patterns @ np.log(accuracy / (1 - accuracy))
+        else:
+            chance = np.empty((2, votes.shape[1], 3))
+            for c, weight in ((1, p * n), (0, (1 - p) * n)):
+                for v in (-1, 0, 1):
+                    chance[c, :, v + 1] = (weight @ (patterns == v) + 0.1) / (weight.sum() + 0.3)
+            prior = float(np.clip((p * n).sum() / n.sum(), 1e-4, 0.9))
+            says = np.log(chance[:, np.arange(votes.shape[1])[None, :], patterns + 1]).sum(axis=2)
+            z = says[1] - says[0]
+        p = 1 / (1 + np.exp(-np.clip(z + np.log(prior / (1 - prior)), -40, 40)))
+    right = np.where(patterns == 1, p[:, None], 1 - p[:, None]) * voted
+    return p[inverse.ravel()], (n @ right + 0.01) / (n @ voted + 0.02), prior
 
 
 def train(rows: list[np.ndarray], labels: np.ndarray, l1: float = 1e-5, rounds: int = 300, keep: int = 20_000) -> tuple[np.ndarray, float]:
@@ -186,19 +193,20 @@ class Model:
         return squash(z), squash(y)
 
 
-def sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """At most ``sample_rows`` documents with their annotations: ``doc_id, text, quality, toxic``."""
-    given = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    first = F.broadcast(given.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))  # bounded by sample_rows
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int, more_rows: int) -> DataFrame:
+    """At most ``sample_rows`` documents with their annotations and ``more_rows`` (where none is annotated,
+    ``sample_rows``) without: ``doc_id, text, quality, toxic``, a row for each id."""
+    given = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = text.join(first, text["doc_id"] == first["_id"]).drop("_id")
-    if found.isEmpty():
-        ids = text.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).distinct()
-        found = text.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
-    return found.dropDuplicates(["doc_id"])  # a row for each sampled id
+    ids = text.select("doc_id").where("doc_id IS NOT NULL").join(given.select("_id"), F.col("doc_id") == F.col("_id"), "left_anti")
+    first = given.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
+    others = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows if given.isEmpty() else more_rows)
+    chosen = F.broadcast(first.unionByName(others.select(F.col("doc_id").alias("_id"), F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))))  # bounded by the two parameters
+    found = text.join(chosen, text["doc_id"] == chosen["_id"])
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, more_rows: int = 2_000) -> Model:
     """The two scorers, from the sample."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g[i] for g in got], ROW.types[i + 1]) for i in range(4)), batch.column(2), batch.column(3)], names=[*ROW.names, "quality", "toxic"])
 
     schema = "doc_id long, words array<int>, style array<int>, votes array<byte>, insults int, quality int, toxic int"
-    bounded = sample(docs, labels, sample_rows).select("doc_id", "text", F.col("quality").cast("int"), F.col("toxic").cast("int"))
+    bounded = sample(docs, labels, sample_rows, more_rows)
     got = bounded.mapInArrow(rows, schema).toArrow().to_pandas().sort_values(["doc_id", "insults"], kind="stable")
     if not len(got):
         return Model(train([], np.empty(0)), train([], np.empty(0)))
     words, styles = [np.asarray(x, np.int32) for x in got["words"]], [np.asarray(x, np.int32) for x in got["style"]]
     annotated = lambda c, bad: np.select([got[c].isna(), got[c] == bad], [0, 1], -1)
     bad, toxic = annotated("quality", 0), annotated("toxic", 1)
-    junk_p, _, _ = expectation_maximisation(np.column_stack([np.array(got["votes"].tolist(), np.int64), bad]), annotator=-1)
+    junk = np.column_stack([np.array(got["votes"].tolist(), np.int64), bad])
     flat, owner = np.concatenate(words), np.repeat(np.arange(len(words), dtype=np.int32), [len(w) for w in words])
     half = got["doc_id"].fillna(0).astype("int64").map(lambda x: zlib.crc32(str(x).encode()) & 1).to_numpy()
     lexicons = []
@@ -227,11 +235,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Model:
             with_, without = (np.bincount(flat[other & (toxic[owner] == v)], minlength=1 << BITS) for v in (1, -1))
             cue = (with_ >= least) & (without <= most * with_)
             hits = np.bincount(owner, weights=cue[flat], minlength=len(words)) > 0
-            vote = np.where((half == h) & hits, 1, vote)  # no cue says little: it abstains
+            vote = np.where((half == h) & hits, 1, vote)  # no cue says little: it abstains, so nobody speaks against a toxic annotation
         lexicons.append(vote)
     insult = np.where(got["insults"] > 0, 1, 0)
-    toxic_p, _, _ = expectation_maximisation(np.column_stack([insult, *lexicons, toxic]), annotator=-1)
-    return Model(train(styles, junk_p, keep=1000), train(words, toxic_p))
+    return Model(taught(styles, junk, silent=False, keep=1000), taught(words, np.column_stack([insult, *lexicons, toxic])))
+
+
+def taught(rows: list[np.ndarray], votes: np.ndarray, silent: bool = True, doubt: float = 0.2, **how: int) -> tuple[np.ndarray, float]:
+    """A scorer trained on the posterior labels of the rows about which there is little ``doubt``; rows on which every
+    labeller abstains train nothing."""
+    p, _, _ = expectation_maximisation(votes, silent)
+    some = np.flatnonzero((votes != 0).any(axis=1) & (np.abs(p - 0.5) >= 0.5 - doubt))
+    return train([rows[i] for i in some], p[some], **how)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -167,12 +167,125 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def survivors(docs: DataFrame, shingle: int = 3) -> DataFrame:
+PRINTS, FAR, COLD = 3, 10, 16
+
+
+def word_prints(words: list[bytes]) -> list[int]:
+    """``PRINTS`` fingerprints of a text's distinct words: the majority of their hashes' bits, and of mixtures of them."""
+    if not words:
+        return [0] * PRINTS
+    h = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(words)], np.uint64)
+    out = []
+    for i in range(PRINTS):
+        mixed = h * np.uint64(2 * i * 0x9E3779B97F4A7C15 % 2**64 | 1)
+        mixed ^= mixed >> np.uint64(29)
+        bits = np.unpackbits((mixed * np.uint64(0xBF58476D1CE4E5B9)).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """Sorted 32-bit hashes of a text's distinct shingles; fewer words than a shingle are one, no words none."""
+    if not words:
+        return np.empty(0, "<u4")
+    grams = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
+    return np.unique(np.array([xxhash.xxh32_intdigest(b" ".join(g)) for g in grams], "<u4"))
+
+
+def normal(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; two empty ones are equal."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``a, b``: nodes) whose texts (``node, text``, one row a node) are alike enough. Only texts in
+    a pair are read, and become sets once each."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(normal(t.as_py()), shingle).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "grams"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [alike(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    own = written(texts.join(asked, texts["node"] == asked["_node"], "left_semi").select("node", "text").mapInArrow(sets, "node long, grams binary"), "grams")
+    left, right = own.select(F.col("node").alias("_a"), F.col("grams").alias("x")), own.select(F.col("node").alias("_b"), F.col("grams").alias("y"))
+    met = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
+    return written(met.mapInArrow(compare, "a long, b long"), "verified")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``a, b``: verified links between nodes (``node, prints``, a written table; ``texts``: ``node, text``)."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            prints = batch.column(1).flatten().to_numpy().reshape(-1, PRINTS)
+            for i in range(PRINTS):
+                key, row = keys(prints[:, i].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key | i << 40), pa.array(node[row]), pa.array(prints[row, i])], names=["key", "node", "fp"])
+
+    each = written(nodes.select("node", "prints").mapInArrow(keyed, "key long, node long, fp long"), "keys")
+    shared = written(each.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    each = written(each.join(shared, each["key"] == shared["_key"]).select("key", "node", "fp", "n"), "candidates")
+    few, many = each.where(F.col("n") <= COLD), each.where(F.col("n") > COLD).select("key", "node")
+    a, b = few.select("key", F.col("node").alias("a"), F.col("fp").alias("x")), few.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("fp").alias("y"))
+    near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FAR
+    pairs = written(a.join(b, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "pairs")
+    found, leaders = verified(pairs, texts, shingle, similarity), 2
+    while not many.isEmpty():
+        lead = many.groupBy(F.col("key").alias("_key"), F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("class")).agg(F.min("node").alias("a"))
+        lead = written(lead, "leaders")
+        met = many.join(lead, many["key"] == lead["_key"]).where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+        linked = verified(written(met, "met"), texts, shingle, similarity)
+        found = found.unionByName(linked)
+        done = written(lead.select(F.col("a").alias("_node")).unionByName(linked.select(F.col("b").alias("_node"))).distinct(), "done")
+        many = written(many.join(done, many["node"] == done["_node"], "left_anti"), "rest")
+        crowd = written(many.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowd")
+        many, leaders = written(many.join(crowd, many["key"] == crowd["_key"], "left_semi"), "rest"), leaders * 2
+    return found
+
+
+def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id (and hash of its text, where rows repeat
     an id). Rows without an id have no group of their own to stand for unless none in the group has one; then one of
-    them stays."""
-    _, best = _placed(written(fingerprints(docs, shingle), "fingerprints"))
+    them stays. Texts whose lower-cased words are the same in the same order are one node (a 64-bit hash); nodes link
+    where the Jaccard similarity of their sets of ``shingle`` words is at least ``similarity``.
+
+    Near copies differ in few words but in many shingles, so candidates come from ``PRINTS`` fingerprints of the distinct
+    words, by the same Golay keys, and are verified on the texts. Where more than ``COLD`` nodes share a key, they are
+    not paired: they are compared with two leaders of the key, what is like none of them with four new leaders, and so
+    on, twice as many each time, until nobody is left; a large group of near copies ends in a few rounds.
+
+    Defined results for odd input: null, empty and blank texts are one group; null ids as said; an empty table gives no
+    rows; all columns are returned as they came, whatever their names."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [normal(t.as_py()) for t in batch.column(1)]
+            node = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
+            prints = pa.array([word_prints(w) for w in words], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), prints], names=["doc_id", "h", "node", "prints"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("h"))
+    marked = written(rows.mapInArrow(mark, "doc_id long, h long, node long, prints array<long>"), "marked")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    nodes = written(marked.groupBy("node").agg(F.min(F.struct(row.alias("least"), "prints")).alias("first")).select("node", F.col("first.least").alias("least"), F.col("first.prints").alias("prints")), "nodes")
+    places = nodes.select("node", F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))
+    texts = written(rows.join(places, (rows["h"] == places["_h"]) & rows["doc_id"].eqNullSafe(places["_id"])).dropDuplicates(["node"]).select("node", "text"), "texts")
+    roots = components(similar_links(nodes, texts, shingle, similarity))
+    placed = nodes.join(roots, nodes["node"] == roots["node"], "left").select(F.coalesce(roots["root"], nodes["node"]).alias("_root"), "least")
+    best = written(placed.groupBy("_root").agg(F.min("least").alias("least")), "best")
     stay = best.select(F.col("least.doc_id").alias("_stay"), F.col("least.h").alias("_text"))
-    hashed = docs.withColumn("_h", text_hash())
-    kept = hashed.join(stay, (hashed["_h"] == stay["_text"]) & hashed["doc_id"].cast("long").eqNullSafe(stay["_stay"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(docs.columns)
+    hashed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_hash().alias("_hash"))
+    kept = hashed.join(stay, (hashed["_hash"] == stay["_text"]) & hashed["_doc"].eqNullSafe(stay["_stay"]), "left_semi")
+    return kept.dropDuplicates(["_doc", "_hash"]).select("_row.*")

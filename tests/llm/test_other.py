@@ -18,9 +18,16 @@ def test_em_finds_the_reliable():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.2
     vote = lambda right: np.where(rng.random(4000) < right, np.where(truth, 1, -1), np.where(truth, -1, 1)) * (rng.random(4000) < 0.8)
-    p, chance, prior = quality.expectation_maximisation(np.column_stack([vote(0.95), vote(0.9), vote(0.85), vote(0.55)]))
-    assert ((p > 0.5) == truth).mean() > 0.93 and abs(prior - 0.2) < 0.05
-    assert chance[1, 0, 2] > chance[1, 3, 2]
+    votes = np.column_stack([vote(0.95), vote(0.9), vote(0.85), vote(0.55)])
+    for silent in (True, False):
+        p, accuracy, prior = quality.expectation_maximisation(votes, silent)
+        assert ((p > 0.5) == truth).mean() > 0.93 and abs(prior - 0.2) < 0.05
+        assert accuracy[0] > accuracy[3]
+    # labellers that agree overrule a fifth of wrong votes by the last one, whoever that is
+    given = np.where(truth, 1, -1) * np.where(rng.random(4000) < 0.8, 1, -1)
+    p, accuracy, _ = quality.expectation_maximisation(np.column_stack([vote(0.97), vote(0.97), vote(0.97), given]))
+    wrong = (given == 1) != truth
+    assert ((p > 0.5) == truth)[wrong].mean() > 0.85 and abs(accuracy[3] - 0.8) < 0.03
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +46,21 @@ def test_held_out_accuracy(corpus):
     assert len(held) > 500 and caught > 0.9 and clean > 0.97, (caught, clean)
 
 
+def test_wrong_annotations_are_overruled(corpus, monkeypatch):
+    """One annotation in twenty says the opposite: the posteriors that train the junk scorer correct nearly all of them.
+    (Heuristics for toxicity only ever vote for it, so there annotations stand.)"""
+    docs, labels = corpus
+    flip = F.xxhash64("doc_id") % 20 == 0
+    wrong = labels.select("doc_id", F.when(flip, 1 - F.col("quality")).otherwise(F.col("quality")).alias("quality"), F.when(flip, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic"))
+    seen, model = [], quality.expectation_maximisation
+    monkeypatch.setattr(quality, "expectation_maximisation", lambda votes, *how: seen.append((votes, model(votes, *how))) or seen[-1][1])
+    right, noisy = quality.fit(docs, labels, sample_rows=3000), quality.fit(docs, wrong, sample_rows=3000)
+    assert right.junk[0].any() and noisy.junk[0].any()
+    (true, _), (given, (p, accuracy, _)) = seen[0], seen[2]
+    changed = true[:, -1] * given[:, -1] < 0
+    assert changed.sum() > 20 and ((p > 0.5) == (true[:, -1] == 1))[changed].mean() > 0.8 and 0.9 < accuracy[-1] < 0.98
+
+
 def test_quality_edges(spark, corpus):
     rows = [(None, "fine words"), (1, None), (1, None), (2, ""), (3, "x " * 20000)]
     docs = spark.createDataFrame([(*r, 1, 0.5) for r in rows], "doc_id long, text string, keep int, junk_score double")
