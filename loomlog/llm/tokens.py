@@ -59,52 +59,59 @@ Encoded = tuple[np.ndarray, np.ndarray]  # ids one after another, and how many e
 
 
 class Store:
-    """Strings and what they encode to. ``learn`` encodes new strings. At most ``limit`` strings are kept between calls."""
+    """What strings encode to, by a 64-bit hash of the string (Python's, keyed by process), in a few flat arrays.
+    ``learn`` encodes new strings. At most ``limit`` strings are kept between calls."""
 
     def __init__(self, limit: int, learn: Callable[[list[str]], Encoded]) -> None:
-        self.limit, self.learn = limit, learn
-        self.slot: dict[str, int] = {"": 0}  # the empty string has no ids, and is never forgotten
-        self.ids, self.n_ids = np.empty(1 << 16, "<u4"), 0
-        self.start, self.size, self.used = (np.empty(1 << 14, np.int64) for _ in range(3))
-        self.start[0], self.size[0], self.used[0], self.clock = 0, 0, np.iinfo(np.int64).max, 0
+        self.limit, self.learn, self.clock = limit, learn, 0
+        self.hashes, self.slots = np.array([hash("")], np.int64), np.zeros(1, np.int32)  # ascending, and their slots
+        self.start, self.size, self.used = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.ids, self.n_ids = np.empty(1 << 16, "<u4"), 0  # slot 0, the empty string, has none
 
     def _room(self, names: tuple[str, ...], n: int) -> None:
         for name in names:
             old = getattr(self, name)
             if len(old) < n:
-                new = np.empty(max(n, len(old) * 3 // 2), old.dtype)
+                new = np.empty(max(n, len(old) * 5 // 4), old.dtype)
                 new[: len(old)] = old
                 setattr(self, name, new)
 
     def _forget(self) -> None:
-        """Keeps the half that was used last, and the first slot."""
-        n = len(self.slot)
+        """Keeps the half that was used last, and the empty string."""
+        self.used[0] = np.iinfo(np.int32).max
+        n = len(self.slots)
         keep = np.sort(np.argsort(self.used[:n], kind="stable")[n - max(1, self.limit // 2) :])
-        ids, sizes = self.gather(keep)
-        names = list(self.slot)  # in the order of their slots
-        self.slot = {names[i]: k for k, i in enumerate(keep.tolist())}
-        self.used[: len(keep)] = self.used[keep]
-        self.ids, self.n_ids = ids, len(ids)
-        self.size[: len(keep)], self.start[: len(keep)] = sizes, np.cumsum(sizes) - sizes
+        to = np.full(n, -1, np.int32)
+        to[keep] = np.arange(len(keep))
+        self.ids, sizes = self.gather(keep)
+        self.n_ids = len(self.ids)
+        self.used[: len(keep)], self.size[: len(keep)], self.start[: len(keep)] = self.used[keep], sizes, np.cumsum(sizes) - sizes
+        slots = to[self.slots]
+        self.hashes, self.slots = self.hashes[slots >= 0], slots[slots >= 0]
 
     def of(self, strings: list[str]) -> np.ndarray:
         """The slots of distinct strings; they hold until the next call."""
-        if len(self.slot) > self.limit:
+        if len(self.slots) > self.limit:
             self._forget()
-        slot = self.slot
-        new = [s for s in strings if s not in slot]
-        if new:
-            ids, sizes = self.learn(new)
-            n, total = len(slot), len(slot) + len(new)
+        wanted = np.fromiter(map(hash, strings), np.int64, len(strings))
+        at = np.searchsorted(self.hashes, wanted)
+        new = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] != wanted)
+        if len(new):
+            new = new[np.argsort(wanted[new], kind="stable")]
+            ids, sizes = self.learn([strings[i] for i in new.tolist()])
+            n = len(self.slots)
+            total = n + len(new)
             self._room(("start", "size", "used"), total)
             self._room(("ids",), self.n_ids + len(ids))
             self.ids[self.n_ids : self.n_ids + len(ids)] = ids
             self.size[n:total], self.start[n:total] = sizes, self.n_ids + np.cumsum(sizes) - sizes
             self.n_ids += len(ids)
-            slot.update(zip(new, range(n, total), strict=True))
-        found = np.fromiter(map(slot.__getitem__, strings), np.int64, len(strings))
+            self.slots = np.insert(self.slots, at[new], np.arange(n, total, dtype=np.int32))
+            self.hashes = np.insert(self.hashes, at[new], wanted[new])
+            at = np.searchsorted(self.hashes, wanted)
+        found = self.slots[at]
         self.clock += 1
-        self.used[found[found > 0]] = self.clock
+        self.used[found] = self.clock
         return found
 
     def gather(self, slots: np.ndarray) -> Encoded:
@@ -130,7 +137,7 @@ def strings(a: pa.Array) -> list[str]:
 class Encoder:
     """``batch(texts)``: each text's little-endian unsigned 32-bit ids, as bytes, without added special tokens."""
 
-    WORDS, ODD, CHARACTERS, AT_ONCE = 700_000, 100_000, 3_000_000, 20_000
+    WORDS, ODD, CHARACTERS, AT_ONCE = 1_000_000, 100_000, 3_000_000, 10_000
     #: Characters asked of the library for the pattern: ASCII and the Latin letters after it.
     LATIN = range(0x21, 0x180)
 
@@ -237,6 +244,7 @@ class Encoder:
                 else:
                     yield self._other(text)
             at = end
+        pa.default_memory_pool().release_unused()  # a worker lives long, and others share its executor
 
     def ids(self, text: str) -> bytes:
         return next(self.batch([text]))

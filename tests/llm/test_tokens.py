@@ -38,7 +38,7 @@ def test_encoder_is_the_library():
         store.limit = 3
     encoder.CHARACTERS = 200
     assert list(encoder.batch(texts)) == want and list(encoder.batch(texts[::-1])) == want[::-1]
-    assert len(encoder.words.slot) < 400 and list(encoder.batch([])) == []
+    assert len(encoder.words.slots) < 400 and list(encoder.batch([])) == []
 
 
 def test_encoder_on_other_files():
