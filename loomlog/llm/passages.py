@@ -45,7 +45,7 @@ def word_hashes(text: str, known: dict[str, int]) -> np.ndarray:
     try:
         return np.array([known[w] for w in words], np.uint64)
     except KeyError:
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for w in words:
             if w not in known:
@@ -245,14 +245,19 @@ def matches(docs: DataFrame) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
         for batch in batches:
-            hashes, places, owner = [], [], []
+            held, n = [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h, at = seeds(word_hashes(text.as_py(), known))
-                hashes.append(h)
-                places.append(at)
-                owner.append(np.full(len(h), key, np.int64))
-            if hashes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, owner, places)], names=["seed", "doc_id", "pos"])
+                held.append((h, np.full(len(h), key, np.int64), at))
+                n += len(h)
+                if n > 100_000:
+                    yield joined(held)
+                    held, n = [], 0
+            if held:
+                yield joined(held)
+
+    def joined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["seed", "doc_id", "pos"])
 
     each = written(_texts(docs).mapInArrow(found, "seed long, doc_id long, pos int"), "seeds")
     first = F.min(F.struct("doc_id", "pos")).alias("first")

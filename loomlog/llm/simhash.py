@@ -269,11 +269,15 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Dat
     Defined results for odd input: null, empty and blank texts are one group; null ids as said; an empty table gives no
     rows; all columns are returned as they came, whatever their names."""
 
+    def marks(text: str) -> tuple[int, list[int]]:
+        words = normal(text)
+        return xxhash.xxh64_intdigest(b" ".join(words)), word_prints(words)
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [normal(t.as_py()) for t in batch.column(1)]
-            node = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
-            prints = pa.array([word_prints(w) for w in words], pa.list_(pa.int64()))
+            got = [marks(t.as_py()) for t in batch.column(1)]  # a text's words at a time
+            node = np.array([g[0] for g in got], np.uint64).view(np.int64)
+            prints = pa.array([g[1] for g in got], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), prints], names=["doc_id", "h", "node", "prints"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("h"))
