@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or one of our own where unset."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or the context's checkpoint
+    directory. Where neither is set, a local session gets a folder of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = current.get() if current.isDefined() else f"file://{tempfile.mkdtemp(prefix='loomlog-')}"
         if not current.isDefined():
             spark.sparkContext.setCheckpointDir(found)
@@ -27,10 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder. What is written there goes when the driver's process ends."""
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go when the block ends, but those written with ``keep``; so do the shuffle files
+    of what was computed inside, as soon as the driver's collector finds them unused. Nothing that the block returns may
+    still read what goes."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _remove(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path below the shared folder. What is written there goes with the block of ``temporary`` around it (``keep``:
+    with the next one outside), or when the driver's process ends."""
     path = f"{shared_dir(spark)}/loomlog-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
+    else:
+        atexit.register(_remove, spark, path)
     return path
 
 
@@ -43,9 +72,9 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage ends here, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = fresh_path(spark, name, keep)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

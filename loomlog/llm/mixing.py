@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomlog.llm.common import written
+from loomlog.llm.common import temporary, written
 
 MAX_EPOCHS = 3
 #: Relative weight of a source at the end of training against the start: later sources are phased in.
@@ -134,6 +134,7 @@ def apply(docs: DataFrame) -> DataFrame:
     """``docs`` repeated as the plan says, with the same columns, range-sorted by training position: a row for each copy
     at its own time. Rows are numbered in a written table first, so that each finds its own plan, whatever its id."""
     rows = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "rows")
-    planned = plan(rows.select("key", "row.doc_id", "row.source", "row.text"), carry=("key",))
-    copies = planned.select(F.col("key").alias("_key"), F.posexplode("positions").alias("epoch", "position"))
+    with temporary(docs.sparkSession):
+        planned = plan(rows.select("key", "row.doc_id", "row.source", "row.text"), carry=("key",))
+        copies = written(planned.select(F.col("key").alias("_key"), F.posexplode("positions").alias("epoch", "position")), "copies", keep=True)
     return rows.join(copies, rows["key"] == copies["_key"]).orderBy("position", "key", "epoch").select("row.*")

@@ -33,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import written
+from loomlog.llm.common import temporary, written
 
 K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN = 5, 5, 16.0, 0.25, 48, 256, 64
 SPLIT = re.compile(r"\S+")
@@ -392,7 +392,9 @@ def without_passages(docs: DataFrame, min_words: int = 50, min_identity: float =
     """``docs`` with repeated passages cut from all documents but the one of least id that has them; a document that
     loses all its words goes. Same columns, whatever their names; ``n_chars`` follows the text. Rows with a null id or
     a null or empty text stay as they are; rows that repeat an id lose the same words."""
-    found = written(passages(docs, min_words, min_identity).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans")), "spans")
+    with temporary(docs.sparkSession):
+        spans = passages(docs, min_words, min_identity).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
+        found = written(spans, "spans", keep=True)
     whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_key"))
     names = docs.columns
     free = "_" * (1 + max(map(len, names)))  # no column has this name

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomlog.llm.common import written
+from loomlog.llm.common import temporary, written
 from loomlog.llm.components import components
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -280,16 +280,17 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Dat
             prints = pa.array([g[1] for g in got], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(node), prints], names=["doc_id", "h", "node", "prints"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("h"))
-    marked = written(rows.mapInArrow(mark, "doc_id long, h long, node long, prints array<long>"), "marked")
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
-    nodes = written(marked.groupBy("node").agg(F.min(F.struct(row.alias("least"), "prints")).alias("first")).select("node", F.col("first.least").alias("least"), F.col("first.prints").alias("prints")), "nodes")
-    places = nodes.select("node", F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))
-    texts = written(rows.join(places, (rows["h"] == places["_h"]) & rows["doc_id"].eqNullSafe(places["_id"])).dropDuplicates(["node"]).select("node", "text"), "texts")
-    roots = components(similar_links(nodes, texts, shingle, similarity))
-    placed = nodes.join(roots, nodes["node"] == roots["node"], "left").select(F.coalesce(roots["root"], nodes["node"]).alias("_root"), "least")
-    best = written(placed.groupBy("_root").agg(F.min("least").alias("least")), "best")
-    stay = best.select(F.col("least.doc_id").alias("_stay"), F.col("least.h").alias("_text"))
+    with temporary(docs.sparkSession):
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("h"))
+        marked = written(rows.mapInArrow(mark, "doc_id long, h long, node long, prints array<long>"), "marked")
+        row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+        nodes = written(marked.groupBy("node").agg(F.min(F.struct(row.alias("least"), "prints")).alias("first")).select("node", F.col("first.least").alias("least"), F.col("first.prints").alias("prints")), "nodes")
+        places = nodes.select("node", F.col("least.doc_id").alias("_id"), F.col("least.h").alias("_h"))
+        texts = written(rows.join(places, (rows["h"] == places["_h"]) & rows["doc_id"].eqNullSafe(places["_id"])).dropDuplicates(["node"]).select("node", "text"), "texts")
+        roots = components(similar_links(nodes, texts, shingle, similarity))
+        placed = nodes.join(roots, nodes["node"] == roots["node"], "left").select(F.coalesce(roots["root"], nodes["node"]).alias("_root"), "least")
+        best = placed.groupBy("_root").agg(F.min("least").alias("least"))
+        stay = written(best.select(F.col("least.doc_id").alias("_stay"), F.col("least.h").alias("_text")), "stay", keep=True)
     hashed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), text_hash().alias("_hash"))
     kept = hashed.join(stay, (hashed["_hash"] == stay["_text"]) & hashed["_doc"].eqNullSafe(stay["_stay"]), "left_semi")
     return kept.dropDuplicates(["_doc", "_hash"]).select("_row.*")
