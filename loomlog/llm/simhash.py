@@ -245,10 +245,11 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
     while not many.isEmpty():
         lead = many.groupBy(F.col("key").alias("_key"), F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("class")).agg(F.min("node").alias("a"))
         lead = written(lead, "leaders")
-        met = many.join(lead, many["key"] == lead["_key"]).where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-        linked = verified(written(met, "met"), texts, shingle, similarity)
+        met = many.join(lead, many["key"] == lead["_key"]).groupBy(F.col("node").alias("b"), "class").agg(F.min("a").alias("a"))
+        met = written(met.where("a != b").select("a", "b").distinct(), "met")
+        linked = verified(met, texts, shingle, similarity)
         found = found.unionByName(linked)
-        done = written(lead.select(F.col("a").alias("_node")).unionByName(linked.select(F.col("b").alias("_node"))).distinct(), "done")
+        done = written(met.select(F.col("a").alias("_node")).unionByName(linked.select(F.col("b").alias("_node"))).distinct(), "done")
         many = written(many.join(done, many["node"] == done["_node"], "left_anti"), "rest")
         crowd = written(many.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowd")
         many, leaders = written(many.join(crowd, many["key"] == crowd["_key"], "left_semi"), "rest"), leaders * 2
@@ -263,8 +264,9 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Dat
 
     Near copies differ in few words but in many shingles, so candidates come from ``PRINTS`` fingerprints of the distinct
     words, by the same Golay keys, and are verified on the texts. Where more than ``COLD`` nodes share a key, they are
-    not paired: they are compared with two leaders of the key, what is like none of them with four new leaders, and so
-    on, twice as many each time, until nobody is left; a large group of near copies ends in a few rounds.
+    not paired: each is compared with two leaders, the least nodes that it shares such a key with; those that are like
+    neither, and led nobody, with four, and so on, twice as many each time, until nobody is left. So a large group of
+    near copies ends in a few rounds, each linear in its size.
 
     Defined results for odd input: null, empty and blank texts are one group; null ids as said; an empty table gives no
     rows; all columns are returned as they came, whatever their names."""
