@@ -8,7 +8,8 @@
   that ends at each match is found in n log n with a Fenwick tree of prefix maxima: a match weighs ``WEIGHT``, a gap
   costs ``GAP_COST`` for each word of either text. Chains are cut where a gap is over ``MAX_GAP`` words, and at
   multiples of ``BLOCK`` words of the representative, so that texts can be fetched by blocks. Matches outside the
-  spans of the parts make further chains, down to single matches.
+  spans of the parts make further chains, down to single matches; of these, those inside a longer chain of the same
+  document, with whatever source, add nothing to what that one covers, and go.
 * Alignment: each chain's windows of words meet (a document's by its own text; a representative's as blocks that are
   fetched once each however many chains want them) and are aligned: gaps between seeds by edit distance, ends by
   extension as long as more agrees than differs. A piece of too little identity is split at its differing words into
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.common import temporary, written
 
-K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN = 5, 5, 16.0, 0.25, 48, 256, 64
+K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN = 5, 6, 16.0, 0.25, 48, 256, 64
 SPLIT = re.compile(r"\S+")
 
 
@@ -266,6 +267,18 @@ def matches(docs: DataFrame) -> DataFrame:
     return each.join(shared, each["seed"] == shared["_seed"]).where(F.col("doc_id") != F.col("source")).select("doc_id", "pos", "source", "source_pos")
 
 
+def uncovered(found: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """A document's chains without the single matches that lie inside a longer chain, with whatever source: there the
+    longer one finds the passage, and the single match could only find it again."""
+    longer = sorted((int(a[0]), int(a[-1])) for _, a, _ in found if len(a) > 2)
+    if not longer:
+        return found
+    begins = np.array([x for x, _ in longer])
+    ends = np.maximum.accumulate([y for _, y in longer])
+    inside = lambda x: (i := np.searchsorted(begins, x, "right") - 1) >= 0 and ends[i] >= x
+    return [c for c in found if len(c[1]) > 1 or not inside(int(c[1][0]))]
+
+
 CHAIN = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("block", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
 
@@ -278,8 +291,7 @@ def chained(found: DataFrame) -> DataFrame:
             columns = [batch.column(i).to_numpy() for i in range(4)]
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            doc, source = columns[0], columns[1]
-            edges = np.flatnonzero((doc[1:] != doc[:-1]) | (source[1:] != source[:-1])) + 1
+            edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
             last = int(edges[-1]) if len(edges) else 0
             yield from emit([c[:last] for c in columns], edges[:-1])
             held = [c[last:] for c in columns]
@@ -290,8 +302,13 @@ def chained(found: DataFrame) -> DataFrame:
         rows = []
         if len(columns[0]):
             for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(columns[0])], strict=True):
-                for a, b in chains(columns[2][i:j].astype(np.int64), columns[3][i:j].astype(np.int64)):
-                    rows.append((int(columns[0][i]), int(columns[1][i]), int(b[0]) // BLOCK, a.astype(np.int32), b.astype(np.int32)))
+                source, places, other = columns[1][i:j], columns[2][i:j].astype(np.int64), columns[3][i:j].astype(np.int64)
+                cuts = np.flatnonzero(source[1:] != source[:-1]) + 1
+                own = [(int(source[x]), a, b) for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(source)], strict=True) for a, b in chains(places[x:y], other[x:y])]
+                rows += [(int(columns[0][i]), key, int(b[0]) // BLOCK, a.astype(np.int32), b.astype(np.int32)) for key, a, b in uncovered(own)]
+                if len(rows) > 5000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), CHAIN.types, strict=True)], schema=CHAIN)
+                    rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), CHAIN.types, strict=True)], schema=CHAIN)
 
@@ -302,7 +319,8 @@ def chained(found: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:
     """``doc_id, start_word, end_word, n_words, identity, source_doc_id, source_start_word``: a row for each passage
     that a document shares with an earlier one (of a lesser id)."""
-    found = written(chained(matches(docs)), "chains")
+    with temporary(docs.sparkSession):
+        found = written(chained(matches(docs)), "chains", keep=True)
     own = found.groupBy("doc_id").agg(F.collect_list(F.struct("source", "block", "a", "b")).alias("chains"))
     wanted = found.select(F.col("source").alias("doc_id"), "block").distinct().groupBy("doc_id").agg(F.collect_list("block").alias("blocks"))
     asked = own.join(wanted, "doc_id", "full_outer").select(F.col("doc_id").alias("_id"), "chains", "blocks")

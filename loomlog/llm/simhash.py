@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-PRINTS, FAR, COLD = 3, 10, 16
+PRINTS, FAR, COLD, FULLEST = 3, 10, 16, 6
 
 
 def word_prints(words: list[bytes]) -> list[int]:
@@ -237,7 +237,10 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
     each = written(nodes.select("node", "prints").mapInArrow(keyed, "key long, node long, fp long"), "keys")
     shared = written(each.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     each = written(each.join(shared, each["key"] == shared["_key"]).select("key", "node", "fp", "n"), "candidates")
-    few, many = each.where(F.col("n") <= COLD), each.where(F.col("n") > COLD).select("key", "node")
+    few, crowded = each.where(F.col("n") <= COLD), each.where(F.col("n") > COLD)
+    by_size = F.sort_array(F.collect_list(F.struct("n", "key")), asc=False)  # a fingerprint has at most 18 keys
+    fullest = crowded.groupBy("node", F.shiftright("key", 40)).agg(F.slice(by_size, 1, FULLEST).alias("most"))
+    many = written(fullest.select("node", F.explode("most.key").alias("key")), "many")
     a, b = few.select("key", F.col("node").alias("a"), F.col("fp").alias("x")), few.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("fp").alias("y"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FAR
     pairs = written(a.join(b, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "pairs")
@@ -252,7 +255,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
         done = written(met.select(F.col("a").alias("_node")).unionByName(linked.select(F.col("b").alias("_node"))).distinct(), "done")
         many = written(many.join(done, many["node"] == done["_node"], "left_anti"), "rest")
         crowd = written(many.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowd")
-        many, leaders = written(many.join(crowd, many["key"] == crowd["_key"], "left_semi"), "rest"), leaders * 2
+        many, leaders = written(many.join(crowd, many["key"] == crowd["_key"], "left_semi"), "rest"), leaders + 2
     return found
 
 
@@ -264,9 +267,9 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Dat
 
     Near copies differ in few words but in many shingles, so candidates come from ``PRINTS`` fingerprints of the distinct
     words, by the same Golay keys, and are verified on the texts. Where more than ``COLD`` nodes share a key, they are
-    not paired: each is compared with two leaders, the least nodes that it shares such a key with; those that are like
-    neither, and led nobody, with four, and so on, twice as many each time, until nobody is left. So a large group of
-    near copies ends in a few rounds, each linear in its size.
+    not paired: in the ``FULLEST`` most crowded of these keys of each fingerprint, each is compared with two leaders, the
+    least node there of either half (by hash); those that are like neither, and led nobody, with four, with six, and so
+    on, until nobody is left. So a large group of near copies ends in a few rounds, each linear in its size.
 
     Defined results for odd input: null, empty and blank texts are one group; null ids as said; an empty table gives no
     rows; all columns are returned as they came, whatever their names."""
