@@ -12,7 +12,7 @@
   document, with whatever source, add nothing to what that one covers, and go.
 * Alignment: each chain's windows of words meet (a document's by its own text; a representative's as blocks that are
   fetched once each however many chains want them) and are aligned: gaps between seeds by edit distance, ends by
-  extension as long as more agrees than differs. A piece of too little identity is split at its differing words into
+  extension as long as more agrees than differs, for at most ``REACH`` words. A piece of too little identity is split at its differing words into
   the spans that have enough. Spans that lie side by side become one passage, by the same split.
 
 A passage has at least ``min_words`` words of which at least ``min_identity`` are the same in both texts.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.common import temporary, written
 
-K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN = 5, 6, 16.0, 0.25, 48, 256, 64
+K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN, REACH = 5, 6, 16.0, 0.25, 48, 256, 64, 96
 SPLIT = re.compile(r"\S+")
 
 
@@ -336,9 +336,10 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
             for key, text, own_, blocks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
                 words = (word_hashes(text.as_py(), known) & np.uint64(0xFFFF)).astype("<u2")
                 for c in own_.as_py() or ():
-                    before, after = c["b"][0] - c["block"] * BLOCK + MARGIN, (c["block"] + 1) * BLOCK + MARGIN - c["b"][-1]  # the source's window
-                    start = max(0, c["a"][0] - before - MARGIN)
-                    rows.append((key, c["source"], c["block"], start, words[start : c["a"][-1] + K + after + MARGIN].tobytes(), c["a"], c["b"]))
+                    before = min(REACH, c["b"][0] - c["block"] * BLOCK + MARGIN)  # within the source's window
+                    after = min(REACH, (c["block"] + 1) * BLOCK + MARGIN - c["b"][-1])
+                    start = max(0, c["a"][0] - before)
+                    rows.append((key, c["source"], c["block"], start, words[start : c["a"][-1] + K + after].tobytes(), c["a"], c["b"]))
                 for block in blocks or ():
                     start = max(0, block * BLOCK - MARGIN)
                     rows.append((None, key, block, start, words[start : (block + 1) * BLOCK + MARGIN + K].tobytes(), None, None))
