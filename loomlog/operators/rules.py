@@ -136,7 +136,7 @@ def solved(ctx: Context, head: tuple, body: tuple, source: str) -> DataFrame:
     return out.df.select(*(col(a.name).alias(f"_{i}") for i, a in enumerate(args)))
 
 
-def fixpoint(ctx: Context, name: str, source: str, rounds: int = 10_000) -> DataFrame:
+def fixpoint(ctx: Context, name: str, source: str) -> DataFrame:
     """The whole relation of a recursive rule: each round joins only what the last one found."""
     group = tuple(sorted(n for n in {name} | reachable(ctx.rules, name) if name in reachable(ctx.rules, n) or n == name))
     if found := ctx.fixpoints.get((source, *group)):
@@ -144,7 +144,7 @@ def fixpoint(ctx: Context, name: str, source: str, rounds: int = 10_000) -> Data
     if len(group) == 1 and (closed := transitive(ctx.rules[name])):
         totals = {name: doubled(solved(ctx, *closed, source))}
     else:
-        totals = stepwise(ctx, group, source, rounds)
+        totals = stepwise(ctx, group, source)
     ctx.fixpoints[(source, *group)] = totals
     return totals[name]
 
@@ -162,7 +162,7 @@ def doubled(edges: DataFrame) -> DataFrame:
         n = new
 
 
-def stepwise(ctx: Context, group: tuple, source: str, rounds: int) -> dict[str, DataFrame]:
+def stepwise(ctx: Context, group: tuple, source: str) -> dict[str, DataFrame]:
     plain = {n: [(h, b) for h, b in ctx.rules[n].branches if not calls(b) & set(group)] for n in group}
     again = {n: [(h, b) for h, b in ctx.rules[n].branches if calls(b) & set(group)] for n in group}
     deltas: dict[str, DataFrame | None] = {}
@@ -172,7 +172,7 @@ def stepwise(ctx: Context, group: tuple, source: str, rounds: int) -> dict[str,
     if all(d is None for d in deltas.values()):
         raise DatalogError(f"Rule '{group[0]}' has no branch that ends")
     totals = dict(deltas)
-    for _ in range(rounds):
+    while True:
         new: dict[str, DataFrame | None] = {}
         for n in group:
             parts = []

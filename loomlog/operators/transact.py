@@ -384,6 +384,8 @@ def with_(db: Db, tx_data: Any, tx_meta: Any = None) -> TxReport:
             break
         except _Retry as r:
             known = {**known, r.tempid: r.eid}
+    else:
+        raise DatalogError("Conflicting upserts: the transaction's tempids do not settle")
     after = db.with_facts(t.facts, t.gone, max_eid=max(t.max_eid, db.max_eid), max_tx=t.tx)
     tempids = {k: v for k, v in t.tempids.items() if not isinstance(k, _Auto)} | {K(":db/current-tx"): t.tx}
     return TxReport(db, after, t.out, tempids, tx_meta)

@@ -10,9 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return found.rstrip("/") if found else f"file://{tempfile.gettempdir()}"
+    """``spark.checkpoint.dir``, or the context's checkpoint directory. Where neither is set, a local session uses the
+    machine's temporary folder; a cluster is refused, because its executors could not see what others write."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return f"file://{tempfile.gettempdir()}"
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
