@@ -3,7 +3,8 @@
 * Seeds: hashes of ``K`` successive words, chosen by winnowing, the least hash of every ``WINDOW`` successive ones, so
   any run of ``K + WINDOW - 1`` equal words has a common seed, and a text gives about two seeds for ``WINDOW`` words.
 * A seed's occurrence in the document of least id stands for all others, so a passage that a million documents share
-  gives a million matches, not pairs. Occurrences join their seed's representative.
+  gives a million matches, not pairs. Occurrences are sorted by seed, so the representative comes first; those of the
+  most frequent seeds are spread over tasks and join their representatives.
 * Chains: the matches of a document with one representative document are chained in both texts' order. The best chain
   that ends at each match is found in n log n with a Fenwick tree of prefix maxima: a match weighs ``WEIGHT``, a gap
   costs ``GAP_COST`` for each word of either text. Chains are cut where a gap is over ``MAX_GAP`` words, and at
@@ -11,9 +12,11 @@
   spans of the parts make further chains, down to single matches; of these, those inside a longer chain of the same
   document, with whatever source, add nothing to what that one covers, and go.
 * Alignment: each chain's windows of words meet (a document's by its own text; a representative's as blocks that are
-  fetched once each however many chains want them) and are aligned: gaps between seeds by edit distance, ends by
-  extension as long as more agrees than differs, for at most ``REACH`` words. A piece of too little identity is split at its differing words into
-  the spans that have enough. Spans that lie side by side become one passage, by the same split.
+  sent once each, to the one task that aligns all chains with them; a block that over ``CROWD`` chains want is sent
+  several times) and are aligned: gaps between seeds by edit distance, ends by extension as long as more agrees than
+  differs, for at most ``REACH`` words; single matches, of which there are most, many at once by array operations, for
+  at most ``NEAR`` words to either side. A piece of too little identity is split at its differing words into the spans
+  that have enough. Spans that lie side by side become one passage, by the same split.
 
 A passage has at least ``min_words`` words of which at least ``min_identity`` are the same in both texts.
 
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 
 from loomlog.llm.common import temporary, written
 
-K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN, REACH = 5, 6, 16.0, 0.25, 48, 256, 64, 96
+K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN, REACH, NEAR = 5, 6, 16.0, 0.25, 48, 256, 64, 96, 60
+#: Frequent seeds whose occurrences are spread over ``SALTS`` tasks, and chains of a block that one task aligns.
+HOT, SALTS, CROWD = 4096, 64, 4096
 SPLIT = re.compile(r"\S+")
 
 
@@ -193,6 +198,47 @@ def _extend(u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
+def extend_many(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_extend`` for many pairs of runs at once, a row each: how far each agrees, and for each word the place of its
+    equal or -1. Rows are filled up with values that equal nothing on the other side."""
+    n, width = u.shape
+    u = np.concatenate([u, np.full((n, 3), -1, u.dtype)], axis=1)
+    v = np.concatenate([v, np.full((n, 3), -2, v.dtype)], axis=1)
+    places, ends = np.full((n, width), -1, np.int32), np.zeros(n, np.int64)
+    rows = np.arange(n)
+    i, j, score, best = (np.zeros(n, np.int64) for _ in range(4))
+    while len(rows):
+
+        def agree(di: int, dj: int) -> np.ndarray:
+            return (u[rows, i + di] == v[rows, j + dj]) & (u[rows, i + di + 1] == v[rows, j + dj + 1])
+
+        same = u[rows, i] == v[rows, j]
+        places[rows[same], i[same]] = j[same]
+        score = score + np.where(same, 1, -2)
+        further = score > best
+        best = np.maximum(best, score)
+        ends[rows[further]] = i[further] + 1
+        open_ = ~same & ~agree(1, 1)
+        more = open_ & agree(1, 0)
+        open_ &= ~more
+        less = open_ & agree(0, 1)
+        two = open_ & ~less & agree(2, 2)
+        i, j = i + np.where(less, 0, 1 + two), j + np.where(more, 0, 1 + two)
+        go = (score >= best - 8) & (i < width) & (j < width)
+        rows, i, j, score, best = rows[go], i[go], j[go], score[go], best[go]
+    places[np.arange(width) >= ends[:, None]] = -1
+    return ends, places
+
+
+def align_single(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For many single matches, a row of ``NEAR`` words, the seed and ``NEAR`` words each: how many words the span has
+    before the seed, how many after it, and for each word its equal's place in the other row, or -1."""
+    left, x = extend_many(u[:, NEAR - 1 :: -1], v[:, NEAR - 1 :: -1])
+    right, y = extend_many(u[:, NEAR + K :], v[:, NEAR + K :])
+    seed = np.broadcast_to(np.arange(NEAR, NEAR + K, dtype=np.int32), (len(u), K))
+    return left, right, np.concatenate([np.where(x < 0, -1, NEAR - 1 - x)[:, ::-1], seed, np.where(y < 0, -1, NEAR + K + y)], axis=1)
+
+
 def align(words: np.ndarray, source: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[int, np.ndarray]:
     """Where a chain's span begins in the document's window, and for each word of the span the place of its equal in
     the source's window, or -1; ``a`` and ``b`` are the places of the chain's seeds in the windows."""
@@ -240,8 +286,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """``doc_id, pos, source, source_pos``: occurrences of seeds with their representatives in other documents."""
+def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def seeded(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """``seed, salt, doc_id, pos``: every seed of every text; ``salt`` is zero but for seeds that are in ``hot``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -258,32 +308,65 @@ def matches(docs: DataFrame) -> DataFrame:
                 yield joined(held)
 
     def joined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], names=["seed", "doc_id", "pos"])
+        seed, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        salt = np.where(np.isin(seed, hot), 1 + key % SALTS, 0).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (seed, salt, key, at)], names=["seed", "salt", "doc_id", "pos"])
 
-    each = written(_texts(docs).mapInArrow(found, "seed long, doc_id long, pos int"), "seeds")
-    first = F.min(F.struct("doc_id", "pos")).alias("first")
-    shared = each.groupBy("seed").agg(first, F.max("doc_id").alias("last")).where(F.col("first.doc_id") != F.col("last"))
-    shared = written(shared.select(F.col("seed").alias("_seed"), F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos")), "shared-seeds")
-    return each.join(shared, each["seed"] == shared["_seed"]).where(F.col("doc_id") != F.col("source")).select("doc_id", "pos", "source", "source_pos")
+    return _texts(docs).mapInArrow(found, "seed long, salt int, doc_id long, pos int")
 
 
-def uncovered(found: list[tuple[int, np.ndarray, np.ndarray]]) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """A document's chains without the single matches that lie inside a longer chain, with whatever source: there the
-    longer one finds the passage, and the single match could only find it again."""
-    longer = sorted((int(a[0]), int(a[-1])) for _, a, _ in found if len(a) > 2)
-    if not longer:
-        return found
-    begins = np.array([x for x, _ in longer])
-    ends = np.maximum.accumulate([y for _, y in longer])
-    inside = lambda x: (i := np.searchsorted(begins, x, "right") - 1) >= 0 and ends[i] >= x
-    return [c for c in found if len(c[1]) > 1 or not inside(int(c[1][0]))]
+def hot_seeds(docs: DataFrame) -> np.ndarray:
+    """Seeds that many documents have, at most ``HOT``, by one text in 256. They decide only which rows are spread over
+    tasks, not what is found; any other seed has less than one in ``HOT`` of what the frequent ones have."""
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(256)) == 0)
+    often = seeded(some, np.empty(0, np.int64)).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
+    return np.array([r["seed"] for r in often.orderBy(F.desc("n"), "seed").limit(HOT).collect()], np.int64)
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """``doc_id, pos, source, source_pos``: occurrences of seeds with their representatives in other documents. Each
+    seed's occurrences come in order in one task, the representative first; those of hot seeds are spread, and meet
+    their representatives (at most ``HOT``) in a join."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the seed at hand with its representative
+        for batch in batches:
+            seed, salt, doc, pos = (batch.column(i).to_numpy() for i in range(4))
+            if not len(seed):
+                continue
+            new = np.concatenate([[True], seed[1:] != seed[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(seed)), 0))
+            source, source_pos = doc[at], pos[at]
+            if last is not None and seed[0] == last[0]:
+                run = int(new[1:].argmax()) + 1 if new[1:].any() else len(seed)
+                source[:run], source_pos[:run] = last[1:]
+            last = seed[-1], source[-1], source_pos[-1]
+            spread = salt > 0
+            take = spread | (doc != source)
+            spread, columns = spread[take], [x[take] for x in (doc, pos, source, source_pos, seed)]
+            masks = [None, None, spread, spread, ~spread]
+            yield pa.RecordBatch.from_arrays([pa.array(x, mask=m) for x, m in zip(columns, masks, strict=True)], names=["doc_id", "pos", "source", "source_pos", "seed"])
+
+    hot = hot_seeds(docs)
+    placed = seeded(docs, hot).repartition("seed", "salt").sortWithinPartitions("seed", "salt", "doc_id", "pos")
+    found = placed.mapInArrow(pair, "doc_id long, pos int, source long, source_pos int, seed long")
+    names = ["doc_id", "pos", "source", "source_pos"]
+    if not len(hot):
+        return found.select(names)
+    found = written(found, "matches")
+    spread = found.where("seed IS NOT NULL").select("seed", "doc_id", "pos")
+    first = spread.groupBy(F.col("seed").alias("_seed")).agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    first = first.select("_seed", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos"))
+    met = spread.join(F.broadcast(first), F.col("seed") == F.col("_seed")).where(F.col("doc_id") != F.col("source"))
+    return found.where("seed IS NULL").select(names).unionByName(met.select(names))
 
 
 CHAIN = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("block", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
 
 def chained(found: DataFrame) -> DataFrame:
-    """``doc_id, source, block, a, b``: chains, cut at the source's blocks, with their seeds' places in both texts."""
+    """``doc_id, source, block, a, b``: chains, cut at the source's blocks, with their seeds' places in both texts.
+    Single matches inside a longer chain of the document, with whatever source, go."""
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -293,24 +376,47 @@ def chained(found: DataFrame) -> DataFrame:
                 columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
             edges = np.flatnonzero(columns[0][1:] != columns[0][:-1]) + 1
             last = int(edges[-1]) if len(edges) else 0
-            yield from emit([c[:last] for c in columns], edges[:-1])
+            yield from emit(*(c[:last] for c in columns))
             held = [c[last:] for c in columns]
         if held is not None:
-            yield from emit(held, np.empty(0, int))
-
-    def emit(columns: list[np.ndarray], edges: np.ndarray) -> Iterator[pa.RecordBatch]:
-        rows = []
-        if len(columns[0]):
-            for i, j in zip([0, *edges.tolist()], [*edges.tolist(), len(columns[0])], strict=True):
-                source, places, other = columns[1][i:j], columns[2][i:j].astype(np.int64), columns[3][i:j].astype(np.int64)
-                cuts = np.flatnonzero(source[1:] != source[:-1]) + 1
-                own = [(int(source[x]), a, b) for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(source)], strict=True) for a, b in chains(places[x:y], other[x:y])]
-                rows += [(int(columns[0][i]), key, int(b[0]) // BLOCK, a.astype(np.int32), b.astype(np.int32)) for key, a, b in uncovered(own)]
-                if len(rows) > 5000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), CHAIN.types, strict=True)], schema=CHAIN)
-                    rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), CHAIN.types, strict=True)], schema=CHAIN)
+            yield from emit(*held)
+
+    def emit(doc: np.ndarray, source: np.ndarray, pos: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(doc):
+            return
+        pos, other = pos.astype(np.int64), other.astype(np.int64)
+        new = doc[1:] != doc[:-1]
+        number = np.concatenate([[0], np.cumsum(new)]) << 32  # before a place: orders all places of these documents
+        begin = np.concatenate([[0], np.flatnonzero(new | (source[1:] != source[:-1])) + 1])
+        size = np.diff(np.append(begin, len(doc)))
+        rows, lone = [], [begin[size == 1]]
+        for i, n in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+            x, y = pos[i : i + n], other[i : i + n]
+            for a, b in chains(x, y):
+                if len(a) > 1:
+                    rows.append((i, a, b))
+                else:
+                    lone.append(i + np.flatnonzero((x == a[0]) & (y == b[0]))[:1])
+        single = np.concatenate(lone)
+        longer = sorted((int(number[i] + a[0]), int(number[i] + a[-1])) for i, a, _ in rows if len(a) > 2)
+        if longer:
+            begins, ends = np.array([x for x, _ in longer]), np.maximum.accumulate([y for _, y in longer])
+            at = number[single] + pos[single]
+            before = np.searchsorted(begins, at, "right") - 1
+            single = single[(before < 0) | (ends[before] < at)]
+        first = np.array([i for i, _, _ in rows], np.int64)
+        heads = np.array([b[0] for _, _, b in rows], np.int64)
+        for i in range(0, len(single), 50_000):
+            at = single[i : i + 50_000]
+            yield batch_of(doc[at], source[at], other[at], pos[at], other[at], np.ones(len(at), np.int64))
+        for i in range(0, len(rows), 5000):
+            some = rows[i : i + 5000]
+            a, b = np.concatenate([r[1] for r in some]), np.concatenate([r[2] for r in some])
+            at = first[i : i + 5000]
+            yield batch_of(doc[at], source[at], heads[i : i + 5000], a, b, np.array([len(r[1]) for r in some]))
+
+    def batch_of(doc: np.ndarray, source: np.ndarray, head: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(source), pa.array((head // BLOCK).astype(np.int32)), lists(a, n), lists(b, n)], schema=CHAIN)
 
     ordered = found.select("doc_id", "source", "pos", "source_pos").repartition("doc_id").sortWithinPartitions("doc_id", "source", "pos", "source_pos")
     return ordered.mapInArrow(group, "doc_id long, source long, block int, a array<int>, b array<int>")
@@ -321,50 +427,131 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
     that a document shares with an earlier one (of a lesser id)."""
     with temporary(docs.sparkSession):
         found = written(chained(matches(docs)), "chains", keep=True)
-    own = found.groupBy("doc_id").agg(F.collect_list(F.struct("source", "block", "a", "b")).alias("chains"))
-    wanted = found.select(F.col("source").alias("doc_id"), "block").distinct().groupBy("doc_id").agg(F.collect_list("block").alias("blocks"))
+    crowds = found.groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(F.count(F.lit(1)).alias("n"))
+    crowds = written(crowds.where(F.col("n") > CROWD), "crowds")
+    salt = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / CROWD))).cast("int").alias("salt")
+    found = found.join(crowds, (found["source"] == crowds["_source"]) & (found["block"] == crowds["_block"]), "left").select("doc_id", "source", "block", salt, "a", "b")
+    own = found.groupBy("doc_id").agg(F.collect_list(F.struct("source", "block", "salt", "a", "b")).alias("chains"))
+    wanted = found.select(F.col("source").alias("doc_id"), "block", "salt").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("block", "salt")).alias("blocks"))
     asked = own.join(wanted, "doc_id", "full_outer").select(F.col("doc_id").alias("_id"), "chains", "blocks")
     asked = written(asked, "asked")
     texts = _texts(docs)
     met = texts.join(asked, texts["doc_id"] == asked["_id"]).select("doc_id", "text", "chains", "blocks")
-    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("block", pa.int32()), ("from", pa.int32()), ("words", pa.binary()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
+    ints = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("from", pa.int32()), ("words", pa.binary()), ("a", ints), ("b", ints)])
+    wide = 2 * NEAR + K
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+
+        def rest(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+        def singles(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            key, source, block, salt, at, other, near = (np.concatenate(x) for x in zip(*held, strict=True))
+            one, ends = np.ones(len(key), np.int64), np.arange(len(key) + 1, dtype=np.int32) * (2 * wide)
+            words = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(near))])
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(source), pa.array(block), pa.array(salt), pa.array((at - NEAR).astype(np.int32)), words, lists(at, one), lists(other, one)], schema=schema)
+
         for batch in batches:
-            rows = []
-            for key, text, own_, blocks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), batch.column(3).to_pylist(), strict=True):
-                words = (word_hashes(text.as_py(), known) & np.uint64(0xFFFF)).astype("<u2")
-                for c in own_.as_py() or ():
-                    before = min(REACH, c["b"][0] - c["block"] * BLOCK + MARGIN)  # within the source's window
-                    after = min(REACH, (c["block"] + 1) * BLOCK + MARGIN - c["b"][-1])
-                    start = max(0, c["a"][0] - before)
-                    rows.append((key, c["source"], c["block"], start, words[start : c["a"][-1] + K + after].tobytes(), c["a"], c["b"]))
-                for block in blocks or ():
-                    start = max(0, block * BLOCK - MARGIN)
-                    rows.append((None, key, block, start, words[start : (block + 1) * BLOCK + MARGIN + K].tobytes(), None, None))
+            rows, held, n = [], [], 0
+            mine, theirs = batch.column(2), batch.column(3)
+            upto = np.cumsum(mine.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            source, block, salt, a, b = mine.flatten().flatten()
+            source, block, salt = source.to_numpy(), block.to_numpy(), salt.to_numpy()
+            sizes = a.value_lengths().to_numpy()
+            begin = np.concatenate([[0], np.cumsum(sizes)])
+            a, b = a.flatten().to_numpy(), b.flatten().to_numpy()
+            for key, text, lo, hi, blocks in zip(batch.column(0).to_pylist(), batch.column(1), np.append(0, upto[:-1]).tolist(), upto.tolist(), theirs, strict=True):
+                words = np.minimum(word_hashes(text.as_py(), known) & np.uint64(0xFFFF), np.uint64(0xFFFE)).astype("<u2")
+                lone = lo + np.flatnonzero(sizes[lo:hi] == 1)
+                if len(lone):
+                    at = a[begin[lone]]
+                    places = at[:, None] + np.arange(-NEAR, NEAR + K)
+                    inside = (places >= 0) & (places < len(words))
+                    near = np.where(inside, words[np.clip(places, 0, len(words) - 1)], 0xFFFF).astype("<u2")  # 0xFFFF: no word
+                    held.append((np.full(len(lone), key, np.int64), source[lone], block[lone], salt[lone], at, b[begin[lone]], near))
+                    n += len(lone)
+                for c in (lo + np.flatnonzero(sizes[lo:hi] > 1)).tolist():
+                    x, y = a[begin[c] : begin[c + 1]], b[begin[c] : begin[c + 1]]
+                    before = min(REACH, int(y[0]) - int(block[c]) * BLOCK + MARGIN)  # within the source's window
+                    after = min(REACH, (int(block[c]) + 1) * BLOCK + MARGIN - int(y[-1]))
+                    start = max(0, int(x[0]) - before)
+                    rows.append((key, source[c], block[c], salt[c], start, words[start : int(x[-1]) + K + after].tobytes(), x, y))
+                for w in blocks.as_py() or ():
+                    start = max(0, w["block"] * BLOCK - MARGIN)
+                    rows.append((None, key, w["block"], w["salt"], start, words[start : (w["block"] + 1) * BLOCK + MARGIN + K].tobytes(), None, None))
                 if len(rows) > 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    yield rest(rows)
                     rows = []
+                if n > 10_000:
+                    yield singles(held)
+                    held, n = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield rest(rows)
+            if held:
+                yield singles(held)
 
-    both = written(met.mapInArrow(windows, "doc_id long, source long, block int, from int, words binary, a array<int>, b array<int>"), "windows")
-    blocks = both.where("doc_id IS NULL").select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.col("from").alias("source_from"), F.col("words").alias("source_words")).dropDuplicates(["_source", "_block"])
-    blocks = written(blocks, "blocks")
-    pieces = both.where("doc_id IS NOT NULL")
-    joined = pieces.join(blocks, (pieces["source"] == blocks["_source"]) & (pieces["block"] == blocks["_block"])).select("doc_id", "source", "from", "words", "a", "b", "source_from", "source_words")
+    both = met.mapInArrow(windows, "doc_id long, source long, block int, salt int, from int, words binary, a array<int>, b array<int>")
+    joined = both.repartition("source", "block", "salt").sortWithinPartitions("source", "block", "salt", "doc_id", "words")  # the block first, then its chains
     piece = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("source_lo", pa.int32()), ("equal", pa.binary())])
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, np.ndarray]] = []  # the block at hand: source, block, its first word's place, words
         for batch in batches:
+            if not len(batch):
+                continue
+            head = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            source, block, start = (batch.column(i).to_numpy() for i in (1, 2, 4))
+            words = batch.column(5)
+            blocks = held + [(source[i], block[i], start[i], np.frombuffer(words[i].as_py(), "<u2")) for i in np.flatnonzero(head).tolist()]
+            which = np.cumsum(head) - 1 + len(held)
+            if not blocks:
+                continue
+            held = blocks[-1:]
+            size = batch.column(6).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            fits = ~head & (which >= 0)
+            fits &= (np.array([x[0] for x in blocks])[which] == source) & (np.array([x[1] for x in blocks])[which] == block)
             rows = []
-            for key, source, at, words, a, b, source_at, other in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-                u, v = np.frombuffer(words, "<u2"), np.frombuffer(other, "<u2")
-                lo, places = align(u, v, np.array(a) - at, np.array(b) - source_at)
+
+            def add(i: int, lo: int, places: np.ndarray, other: int, rows: list[tuple] = rows, batch: pa.RecordBatch = batch) -> None:
                 equal = places >= 0
                 for x, y in similar(equal, min_identity, min(K, min_words)):
-                    rows.append((key, source, at + lo + x, at + lo + y, source_at + int(places[x]), np.packbits(equal[x:y]).tobytes()))
+                    rows.append((batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), lo + x, lo + y, other + int(places[x]), np.packbits(equal[x:y]).tobytes()))
+
+            for i in np.flatnonzero(fits & (size > 1)).tolist():
+                _, _, other, v = blocks[which[i]]
+                u, a, b = np.frombuffer(words[i].as_py(), "<u2"), batch.column(6)[i].values.to_numpy(), batch.column(7)[i].values.to_numpy()
+                lo, places = align(u, v, a - start[i], b - other)
+                add(i, int(start[i]) + lo, places, int(other))
+            lone = np.flatnonzero(fits & (size == 1))
+            if len(lone):
+                of = which[lone]
+                u = np.frombuffer(b"".join(words.take(pa.array(lone)).to_pylist()), "<u2").reshape(-1, wide).astype(np.int32)
+                length = np.array([len(x[3]) for x in blocks])
+                base, other = np.concatenate([[0], np.cumsum(length)[:-1]]), np.array([x[2] for x in blocks], np.int64)
+                flat = np.concatenate([x[3] for x in blocks]).astype(np.int32)
+                seed = batch.column(7).take(pa.array(lone)).flatten().to_numpy().astype(np.int64)
+                places = (seed - other[of])[:, None] + np.arange(-NEAR, NEAR + K)
+                inside = (places >= 0) & (places < length[of][:, None])
+                v = np.where(inside, flat[np.clip(base[of][:, None] + places, 0, len(flat) - 1)], 0x10000)
+                left, right, at = align_single(u, v)
+                equal, n = at >= 0, left + K + right
+                begin = NEAR - left
+                fine = (equal.sum(axis=1) >= min_identity * n - 1e-6) & (n >= min(K, min_words))
+                for r in np.flatnonzero(~fine).tolist():
+                    i = int(lone[r])
+                    add(i, int(start[i] + begin[r]), at[r, begin[r] : begin[r] + n[r]], int(seed[r]) - NEAR)
+                if fine.any():
+                    f = np.flatnonzero(fine)
+                    moved = begin[f][:, None] + np.arange(wide)
+                    bits = np.packbits((np.take_along_axis(equal[f], np.minimum(moved, wide - 1), 1)) & (np.arange(wide) < n[f][:, None]), axis=1)
+                    ends = np.arange(len(f) + 1, dtype=np.int32) * bits.shape[1]
+                    packed = pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(bits))])
+                    lo = start[lone[f]] + begin[f]
+                    first = seed[f] - NEAR + at[f, begin[f]]
+                    took = pa.array(lone[f])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(took), batch.column(1).take(took), pa.array(lo.astype(np.int32)), pa.array((lo + n[f]).astype(np.int32)), pa.array(first.astype(np.int32)), packed], schema=piece)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), piece.types, strict=True)], schema=piece)
 

@@ -271,3 +271,33 @@ def test_every_eighth_word_changed(spark):
     docs += [(100 + i, " ".join(w if j % 8 else f"n{i}-{j}" for j, w in enumerate(s[70:130]))) for i, s in enumerate(sources)]
     rows = passages.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["source_doc_id"]) for r in rows) == [(100 + i, i) for i in range(20)]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_many_extensions_are_as_one_by_one(seed):
+    rng = np.random.default_rng(seed)
+    pairs = []
+    for _ in range(300):
+        u = rng.integers(0, 30, rng.integers(0, 40))
+        v = np.delete(u, rng.integers(0, len(u), rng.integers(0, 3))) if len(u) and rng.random() < 0.7 else rng.integers(0, 30, rng.integers(0, 40))
+        v = np.where(rng.random(len(v)) < 0.1, 99, v)
+        pairs.append((u, v))
+    us, vs = np.full((300, 40), 1000), np.full((300, 40), 2000)
+    for i, (u, v) in enumerate(pairs):
+        us[i, : len(u)], vs[i, : len(v)] = u, v
+    ends, places = passages.extend_many(us, vs)
+    for i, (u, v) in enumerate(pairs):
+        one = passages._extend(u, v)
+        assert ends[i] == len(one) and (places[i, : ends[i]] == one).all() and (places[i, ends[i] :] == -1).all()
+
+
+def test_hot_seeds_change_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    shared = [" ".join(rng.choices(VOCABULARY, k=60)) for _ in range(3)]
+    rows = [(i, " ".join([*rng.choices(VOCABULARY, k=30), rng.choice(shared), *rng.choices(VOCABULARY, k=30), "one of the usual lines"])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, passages.passages(docs).collect()))
+    seeds = np.concatenate([passages.seeds(passages.word_hashes(t, {}))[0] for t in [*shared, "one of the usual lines"]])
+    monkeypatch.setattr(passages, "hot_seeds", lambda docs: seeds)
+    monkeypatch.setattr(passages, "CROWD", 5)
+    assert len(plain) >= 117 and sorted(map(tuple, passages.passages(docs).collect())) == plain
