@@ -41,22 +41,24 @@ from loomlog.llm.common import temporary, written
 
 K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN, REACH, NEAR = 5, 6, 16.0, 0.25, 48, 256, 64, 96, 60
 #: Frequent seeds whose occurrences are spread over ``SALTS`` tasks, and chains of a block that one task aligns.
-HOT, SALTS, CROWD = 4096, 64, 4096
+HOT, SALTS, CROWD = 4096, 64, 1024
 SPLIT = re.compile(r"\S+")
 
 
-def word_hashes(text: str, known: dict[str, int]) -> np.ndarray:
-    """A 32-bit hash of each lower-cased word between white space, without the marks around it."""
+class Words(dict):
+    """A 32-bit hash of each word that was asked for, without the marks around it."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = out = zlib.crc32((word.strip(".,;:!?\"'()[]") or word).encode("utf-8", "surrogatepass"))
+        return out
+
+
+def word_hashes(text: str, known: Words) -> np.ndarray:
+    """A hash of each lower-cased word between white space."""
+    if len(known) > 150_000:
+        known.clear()
     words = text.lower().split()
-    try:
-        return np.array([known[w] for w in words], np.uint64)
-    except KeyError:
-        if len(known) > 150_000:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = zlib.crc32((w.strip(".,;:!?\"'()[]") or w).encode("utf-8", "surrogatepass"))
-    return np.array([known[w] for w in words], np.uint64)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,6 +250,10 @@ def align(words: np.ndarray, source: np.ndarray, a: np.ndarray, b: np.ndarray) -
     out = np.full(end + len(right) - lo, -1)
     out[: len(left)] = np.where(left < 0, -1, b[0] - 1 - left)[::-1]
     out[end - lo :] = np.where(right < 0, -1, b[-1] + K + right)
+    run = end - int(a[0])
+    if run == int(b[-1]) + K - b[0] and (words[a[0] : end] == source[b[0] : b[0] + run]).all():
+        out[a[0] - lo : end - lo] = np.arange(b[0], b[0] + run)
+        return lo, out
     x = y = -1
     for p, q in zip(a.tolist(), b.tolist(), strict=True):
         if x >= 0 and p > x and q > y:
@@ -269,6 +275,9 @@ def similar(equal: np.ndarray, min_identity: float, least: int) -> list[tuple[in
         if not len(at) or at[-1] - at[0] + 1 < least:
             continue
         lo, hi = lo + int(at[0]), lo + int(at[-1]) + 1
+        if len(at) >= min_identity * (hi - lo) - 1e-6:
+            out.append((lo, hi))
+            continue
         sums = np.concatenate([[0.0], np.cumsum(equal[lo:hi] - min_identity)])
         begin = np.searchsorted(-np.minimum.accumulate(sums), -sums - 1e-6)  # the first place from where the mean is enough
         length = np.arange(len(sums)) - begin
@@ -294,7 +303,7 @@ def seeded(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     """``seed, salt, doc_id, pos``: every seed of every text; ``salt`` is zero but for seeds that are in ``hot``."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Words()
         for batch in batches:
             held, n = [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -387,33 +396,49 @@ def chained(found: DataFrame) -> DataFrame:
         pos, other = pos.astype(np.int64), other.astype(np.int64)
         new = doc[1:] != doc[:-1]
         number = np.concatenate([[0], np.cumsum(new)]) << 32  # before a place: orders all places of these documents
-        begin = np.concatenate([[0], np.flatnonzero(new | (source[1:] != source[:-1])) + 1])
-        size = np.diff(np.append(begin, len(doc)))
-        rows, lone = [], [begin[size == 1]]
-        for i, n in zip(begin[size > 1].tolist(), size[size > 1].tolist(), strict=True):
-            x, y = pos[i : i + n], other[i : i + n]
+        other_group = new | (source[1:] != source[:-1])
+        dx, dy = np.diff(pos), np.diff(other)
+        begin = np.concatenate([[0], np.flatnonzero(other_group) + 1])
+        group_of = np.concatenate([[0], np.cumsum(other_group)])
+        tangled = np.zeros(len(begin), bool)  # groups whose matches are not in order in both texts already
+        tangled[group_of[1:][~other_group & ((dx <= 0) | (dy <= 0))]] = True
+        straight = ~tangled[group_of]
+        # a straight group is one chain: its parts are known at once
+        part = np.concatenate([[0], np.flatnonzero(other_group | (dx > MAX_GAP) | (dy > MAX_GAP) | (np.diff(other // BLOCK) > 0)) + 1])
+        part = part[straight[part]]
+        size = np.diff(np.append(np.searchsorted(np.flatnonzero(straight), part), straight.sum()))
+        rows, lone = [], [part[size == 1]]
+        after = np.append(begin[1:], len(doc))
+        for i, j in zip(begin[tangled].tolist(), after[tangled].tolist(), strict=True):
+            x, y = pos[i:j], other[i:j]
             for a, b in chains(x, y):
                 if len(a) > 1:
                     rows.append((i, a, b))
                 else:
                     lone.append(i + np.flatnonzero((x == a[0]) & (y == b[0]))[:1])
         single = np.concatenate(lone)
-        longer = sorted((int(number[i] + a[0]), int(number[i] + a[-1])) for i, a, _ in rows if len(a) > 2)
-        if longer:
-            begins, ends = np.array([x for x, _ in longer]), np.maximum.accumulate([y for _, y in longer])
+        first, size = part[size > 1], size[size > 1]
+        ends = number[first] + pos[first + size - 1]
+        longer = [np.stack([number[first] + pos[first], ends])[:, size > 2]]
+        longer += [np.array([[number[i] + a[0]], [number[i] + a[-1]]]) for i, a, _ in rows if len(a) > 2]
+        begins, ends = np.concatenate(longer, axis=1)
+        if len(begins):
+            order = np.argsort(begins, kind="stable")
+            begins, ends = begins[order], np.maximum.accumulate(ends[order])
             at = number[single] + pos[single]
             before = np.searchsorted(begins, at, "right") - 1
             single = single[(before < 0) | (ends[before] < at)]
-        first = np.array([i for i, _, _ in rows], np.int64)
-        heads = np.array([b[0] for _, _, b in rows], np.int64)
         for i in range(0, len(single), 50_000):
             at = single[i : i + 50_000]
             yield batch_of(doc[at], source[at], other[at], pos[at], other[at], np.ones(len(at), np.int64))
+        for i in range(0, len(first), 5000):
+            at, n = first[i : i + 5000], size[i : i + 5000]
+            every = np.repeat(at - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield batch_of(doc[at], source[at], other[at], pos[every], other[every], n)
         for i in range(0, len(rows), 5000):
             some = rows[i : i + 5000]
-            a, b = np.concatenate([r[1] for r in some]), np.concatenate([r[2] for r in some])
-            at = first[i : i + 5000]
-            yield batch_of(doc[at], source[at], heads[i : i + 5000], a, b, np.array([len(r[1]) for r in some]))
+            at, heads = np.array([r[0] for r in some]), np.array([r[2][0] for r in some])
+            yield batch_of(doc[at], source[at], heads, np.concatenate([r[1] for r in some]), np.concatenate([r[2] for r in some]), np.array([len(r[1]) for r in some]))
 
     def batch_of(doc: np.ndarray, source: np.ndarray, head: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(source), pa.array((head // BLOCK).astype(np.int32)), lists(a, n), lists(b, n)], schema=CHAIN)
@@ -442,7 +467,7 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
     wide = 2 * NEAR + K
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known = Words()
 
         def rest(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
