@@ -240,15 +240,15 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
     few, crowded = each.where(F.col("n") <= COLD), each.where(F.col("n") > COLD)
     by_size = F.sort_array(F.collect_list(F.struct("n", "key")), asc=False)  # a fingerprint has at most 18 keys
     fullest = crowded.groupBy("node", F.shiftright("key", 40)).agg(F.slice(by_size, 1, FULLEST).alias("most"))
-    many = written(fullest.select("node", F.explode("most.key").alias("key")), "many")
+    many = written(fullest.select("node", F.posexplode("most.key").alias("rank", "key")), "many")
     a, b = few.select("key", F.col("node").alias("a"), F.col("fp").alias("x")), few.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("fp").alias("y"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FAR
     pairs = written(a.join(b, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "pairs")
-    found, leaders = verified(pairs, texts, shingle, similarity), 2
+    found, leaders, asked = verified(pairs, texts, shingle, similarity), 2, many.where("rank = 0")
     while not many.isEmpty():
-        lead = many.groupBy(F.col("key").alias("_key"), F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("class")).agg(F.min("node").alias("a"))
+        lead = asked.groupBy(F.col("key").alias("_key"), F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("class")).agg(F.min("node").alias("a"))
         lead = written(lead, "leaders")
-        met = many.join(lead, many["key"] == lead["_key"]).groupBy(F.col("node").alias("b"), "class").agg(F.min("a").alias("a"))
+        met = asked.join(lead, asked["key"] == lead["_key"]).groupBy(F.col("node").alias("b"), "class").agg(F.min("a").alias("a"))
         met = written(met.where("a != b").select("a", "b").distinct(), "met")
         linked = verified(met, texts, shingle, similarity)
         found = found.unionByName(linked)
@@ -256,6 +256,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
         many = written(many.join(done, many["node"] == done["_node"], "left_anti"), "rest")
         crowd = written(many.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowd")
         many, leaders = written(many.join(crowd, many["key"] == crowd["_key"], "left_semi"), "rest"), leaders + 2
+        asked = many
     return found
 
 
@@ -267,9 +268,9 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Dat
 
     Near copies differ in few words but in many shingles, so candidates come from ``PRINTS`` fingerprints of the distinct
     words, by the same Golay keys, and are verified on the texts. Where more than ``COLD`` nodes share a key, they are
-    not paired: in the ``FULLEST`` most crowded of these keys of each fingerprint, each is compared with two leaders, the
-    least node there of either half (by hash); those that are like neither, and led nobody, with four, with six, and so
-    on, until nobody is left. So a large group of near copies ends in a few rounds, each linear in its size.
+    not paired: in the most crowded of these keys of each fingerprint, each is compared with two leaders, the least node
+    there of either half (by hash); those that are like neither, and led nobody, with four in the ``FULLEST`` most
+    crowded ones, with six, and so on, until nobody is left. So a large group of near copies ends in a few rounds, each linear in its size.
 
     Defined results for odd input: null, empty and blank texts are one group; null ids as said; an empty table gives no
     rows; all columns are returned as they came, whatever their names."""
