@@ -7,7 +7,8 @@
   most frequent seeds are spread over tasks and join their representatives.
 * Chains: the matches of a document with one representative document are chained in both texts' order. The best chain
   that ends at each match is found in n log n with a Fenwick tree of prefix maxima: a match weighs ``WEIGHT``, a gap
-  costs ``GAP_COST`` for each word of either text. Chains are cut where a gap is over ``MAX_GAP`` words, and at
+  costs ``GAP_COST`` for each word of either text. Matches over ``MAX_GAP`` words apart in the document are chained
+  apart. Chains are cut where a gap is over ``MAX_GAP`` words, and at
   multiples of ``BLOCK`` words of the representative, so that texts can be fetched by blocks. Matches outside the
   spans of the parts make further chains, down to single matches; of these, those inside a longer chain of the same
   document, with whatever source, add nothing to what that one covers, and go.
@@ -33,7 +34,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,20 +63,40 @@ def word_hashes(text: str, known: Words) -> np.ndarray:
 
 def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and places of a text's seeds."""
+    h, at, _ = many_seeds([words])
+    return h, at
+
+
+def many_seeds(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and places of the seeds of many texts, in order, and the number of each one's text."""
+    size = np.array([len(t) for t in texts])
+    begin, words = np.cumsum(size) - size, np.concatenate(texts)
     n = len(words) - K + 1
     if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int32)
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
     h = np.zeros(n, np.uint64)
     for j in range(K):
         h = h * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n] + np.uint64(1)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    if n <= WINDOW:
-        at = np.array([int(h.argmin())])
-    else:
-        at = np.unique(sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1))
-    return h[at].view(np.int64), at.astype(np.int32)
+    at, windows = np.empty(0, np.int64), n - WINDOW + 1
+    if windows > 0:
+        least = h[:windows]
+        for j in range(1, WINDOW):
+            least = np.minimum(least, h[j : j + windows])
+        at = np.arange(windows)
+        for j in reversed(range(WINDOW)):  # the first of equal ones is taken
+            at = np.where(h[j : j + windows] == least, np.arange(j, j + windows), at)
+        end = np.repeat(begin + size, size)[:windows]
+        at = at[np.arange(windows) + WINDOW + K - 1 <= end]  # windows within one text
+        at = at[np.diff(at, prepend=-1) > 0]
+    short = np.flatnonzero((size >= K) & (size < WINDOW + K - 1))  # less than a window: one seed
+    if len(short):
+        own = [begin[i] + h[begin[i] : begin[i] + size[i] - K + 1].argmin() for i in short.tolist()]
+        at = np.sort(np.concatenate([at, own]))
+    which = np.repeat(np.arange(len(texts)), size)[at]
+    return h[at].view(np.int64), (at - begin[which]).astype(np.int32), which
 
 
 def best_chains(a: np.ndarray, b: np.ndarray) -> tuple[list[float], list[int]]:
@@ -305,20 +325,22 @@ def seeded(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
         for batch in batches:
-            held, n = [], 0
+            keys, texts, n = [], [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h, at = seeds(word_hashes(text.as_py(), known))
-                held.append((h, np.full(len(h), key, np.int64), at))
-                n += len(h)
+                keys.append(key)
+                texts.append(word_hashes(text.as_py(), known))
+                n += len(texts[-1])
                 if n > 100_000:
-                    yield joined(held)
-                    held, n = [], 0
-            if held:
-                yield joined(held)
-
-    def joined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        seed, key, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        salt = np.where(np.isin(seed, hot), 1 + key % SALTS, 0).astype(np.int32)
+                    yield joined(keys, texts)
+                    keys, texts, n = [], [], 0
+            if keys:
+                yield joined(keys, texts)
+
+    def joined(keys: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
+        seed, at, which = many_seeds(texts)
+        key = np.array(keys, np.int64)[which]
+        spread = hot[np.minimum(np.searchsorted(hot, seed), len(hot) - 1)] == seed if len(hot) else np.zeros(len(seed), bool)
+        salt = np.where(spread, 1 + key % SALTS, 0).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (seed, salt, key, at)], names=["seed", "salt", "doc_id", "pos"])
 
     return _texts(docs).mapInArrow(found, "seed long, salt int, doc_id long, pos int")
@@ -329,7 +351,7 @@ def hot_seeds(docs: DataFrame) -> np.ndarray:
     tasks, not what is found; any other seed has less than one in ``HOT`` of what the frequent ones have."""
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(256)) == 0)
     often = seeded(some, np.empty(0, np.int64)).groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n >= 8")
-    return np.array([r["seed"] for r in often.orderBy(F.desc("n"), "seed").limit(HOT).collect()], np.int64)
+    return np.array(sorted(r["seed"] for r in often.orderBy(F.desc("n"), "seed").limit(HOT).collect()), np.int64)
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -396,15 +418,15 @@ def chained(found: DataFrame) -> DataFrame:
         pos, other = pos.astype(np.int64), other.astype(np.int64)
         new = doc[1:] != doc[:-1]
         number = np.concatenate([[0], np.cumsum(new)]) << 32  # before a place: orders all places of these documents
-        other_group = new | (source[1:] != source[:-1])
         dx, dy = np.diff(pos), np.diff(other)
+        other_group = new | (source[1:] != source[:-1]) | (dx > MAX_GAP)  # chains would be cut there
         begin = np.concatenate([[0], np.flatnonzero(other_group) + 1])
         group_of = np.concatenate([[0], np.cumsum(other_group)])
         tangled = np.zeros(len(begin), bool)  # groups whose matches are not in order in both texts already
         tangled[group_of[1:][~other_group & ((dx <= 0) | (dy <= 0))]] = True
         straight = ~tangled[group_of]
         # a straight group is one chain: its parts are known at once
-        part = np.concatenate([[0], np.flatnonzero(other_group | (dx > MAX_GAP) | (dy > MAX_GAP) | (np.diff(other // BLOCK) > 0)) + 1])
+        part = np.concatenate([[0], np.flatnonzero(other_group | (dy > MAX_GAP) | (np.diff(other // BLOCK) > 0)) + 1])
         part = part[straight[part]]
         size = np.diff(np.append(np.searchsorted(np.flatnonzero(straight), part), straight.sum()))
         rows, lone = [], [part[size == 1]]
