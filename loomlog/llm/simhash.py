@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomlog.llm.common import temporary, written
 from loomlog.llm.components import components
@@ -167,7 +168,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-PRINTS, FAR, COLD, FULLEST = 3, 10, 16, 6
+PRINTS, FAR, COLD = 3, 10, 16
+#: Leaders of a gram and rounds of them before all that is left meets, and longs of a set's signature.
+LEADERS, ROUNDS, SIGNED = 8, 3, 8
 
 
 def word_prints(words: list[bytes]) -> list[int]:
@@ -202,27 +205,110 @@ def alike(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (``a, b``: nodes) whose texts (``node, text``, one row a node) are alike enough. Only texts in
-    a pair are read, and become sets once each."""
+def shingle_sets(texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """``node, grams``: the shingle sets of those ``texts`` (``node, text``, one row a node) that are ``asked`` for
+    (``_node``, distinct)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_set(normal(t.as_py()), shingle).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "grams"])
 
+    found = texts.join(asked, texts["node"] == asked["_node"], "left_semi").select("node", "text")
+    return written(found.mapInArrow(sets, "node long, grams binary"), "grams")
+
+
+def compared(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``a, b``: nodes) whose sets (``node, grams``) are alike enough."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fine = [alike(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
-    own = written(texts.join(asked, texts["node"] == asked["_node"], "left_semi").select("node", "text").mapInArrow(sets, "node long, grams binary"), "grams")
     left, right = own.select(F.col("node").alias("_a"), F.col("grams").alias("x")), own.select(F.col("node").alias("_b"), F.col("grams").alias("y"))
     met = pairs.join(left, F.col("a") == F.col("_a")).join(right, F.col("b") == F.col("_b")).select("a", "b", "x", "y")
     return written(met.mapInArrow(compare, "a long, b long"), "verified")
 
 
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (``a, b``: nodes) whose texts (``node, text``, one row a node) are alike enough. Only texts in
+    a pair are read, and become sets once each."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct()
+    return compared(pairs, shingle_sets(texts, asked, shingle), similarity)
+
+
+def signature(grams: np.ndarray) -> np.ndarray:
+    """``SIGNED`` longs: the parity of the number of grams at each bit. Signatures of two sets differ in no more bits than
+    the sets differ in grams."""
+    mixed = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    odd = np.bincount((mixed % np.uint64(64 * SIGNED)).astype(np.int64), minlength=64 * SIGNED) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def crowded_links(crowd: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``a, b``: verified links among the nodes of ``crowd`` (``_node``, distinct), as many as give the same components
+    as all pairs that are alike enough.
+
+    The grams of each set are put in one order, those that fewest nodes have first. Two sets that are alike enough share
+    one of the first ``size - ceil(similarity * size) + 1``, and the first that they share leaves enough behind it in
+    both. So nodes that share such a gram are candidates; those whose signatures differ too much are none. ``ROUNDS``
+    times a gram's nodes meet ``LEADERS`` of them, which joins most of what belongs together and is linear. In the end
+    all nodes of a gram meet that are not joined yet: every pair that is left, so nothing depends on the leaders."""
+
+    def each_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.frombuffer(g.as_py(), "<u4") for g in batch.column(1)]
+            size = np.array([len(s) for s in sets], np.int64)
+            every = np.concatenate([*sets, np.empty(0, "<u4")]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(every), pa.array(np.repeat(size, size))], names=["node", "gram", "size"])
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [signature(np.frombuffer(g.as_py(), "<u4")) for g in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], names=["_signed", "bits"])
+
+    own = shingle_sets(texts, crowd, shingle)
+    every = written(own.mapInArrow(each_gram, "node long, gram long, size long"), "every")
+    often = every.groupBy(F.col("gram").alias("_gram")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rare_first, of_node = W.partitionBy("node").orderBy("n", "gram"), W.partitionBy("node")
+    at = F.col("size") - F.count(F.lit(1)).over(of_node) + F.row_number().over(rare_first) - 1  # grams of one node come first
+    placed = every.join(often, every["gram"] == often["_gram"]).select("node", "gram", "size", at.alias("at"))
+    placed = placed.where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9))
+    marks = own.mapInArrow(signed, "_signed long, bits array<long>")
+    first = written(placed.join(marks, placed["node"] == marks["_signed"]).select("node", "gram", "size", "at", "bits"), "first")
+
+    names = ("node", "size", "at", "bits", "root")
+    shared = F.ceil((F.col("size") + F.col("_size")) * (similarity / (1 + similarity)) - 1e-9)  # grams that both must have
+    differ = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("_bits")[i])) for i in range(SIGNED)), F.lit(0))
+    fits = (F.col("root") != F.col("_root")) & (F.least(F.col("size") - F.col("at"), F.col("_size") - F.col("_at")) >= shared)
+    fits &= differ <= F.col("size") + F.col("_size") - 2 * shared
+    pair = (F.least("node", "_node").alias("a"), F.greatest("node", "_node").alias("b"))
+    found, rows = None, first.withColumn("root", F.col("node"))
+    for i in range(ROUNDS + 1):
+        if found is not None:
+            roots = components(found)
+            rows = first.join(roots.select(F.col("node").alias("_of"), F.col("root").alias("_to")), F.col("node") == F.col("_of"), "left")
+            rows = rows.select(*first.columns, F.coalesce("_to", "node").alias("root"))
+        rows = written(rows, "rooted")
+        most = rows.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("gram").alias("_gram"))
+        most = most.agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        mixed = written(rows.join(most, rows["gram"] == most["_gram"]).select(*rows.columns, "most"), "mixed")
+        if mixed.isEmpty():
+            break
+        if i < ROUNDS:
+            order = F.xxhash64("node", F.lit(i))
+            some = mixed.groupBy(F.col("gram").alias("_gram"), F.pmod(order, F.lit(LEADERS)).alias("_class")).agg(F.min(F.struct(order.alias("order"), *names)).alias("lead"))
+            some = written(some.select("_gram", *(F.col(f"lead.{c}").alias(f"_{c}") for c in names)), "leaders")
+            met = mixed.join(some, (F.col("gram") == F.col("_gram")) & fits).select(*pair)
+        else:  # those of the commonest root do not meet each other
+            others = mixed.select(F.col("gram").alias("_gram"), *(F.col(c).alias(f"_{c}") for c in names)).where(F.col("_root") != F.col("most"))
+            met = mixed.join(others, (F.col("gram") == F.col("_gram")) & ((F.col("root") == F.col("most")) | (F.col("node") < F.col("_node"))) & fits).select(*pair)
+        linked = compared(written(met.distinct(), "met"), own, similarity)
+        found = linked if found is None else found.unionByName(linked)
+    return found if found is not None else crowd.select(F.col("_node").alias("a"), F.col("_node").alias("b")).limit(0)
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``a, b``: verified links between nodes (``node, prints``, a written table; ``texts``: ``node, text``)."""
 
@@ -237,27 +323,11 @@ def similar_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity:
     each = written(nodes.select("node", "prints").mapInArrow(keyed, "key long, node long, fp long"), "keys")
     shared = written(each.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     each = written(each.join(shared, each["key"] == shared["_key"]).select("key", "node", "fp", "n"), "candidates")
-    few, crowded = each.where(F.col("n") <= COLD), each.where(F.col("n") > COLD)
-    by_size = F.sort_array(F.collect_list(F.struct("n", "key")), asc=False)  # a fingerprint has at most 18 keys
-    fullest = crowded.groupBy("node", F.shiftright("key", 40)).agg(F.slice(by_size, 1, FULLEST).alias("most"))
-    many = written(fullest.select("node", F.posexplode("most.key").alias("rank", "key")), "many")
+    few, crowd = each.where(F.col("n") <= COLD), each.where(F.col("n") > COLD).select(F.col("node").alias("_node")).distinct()
     a, b = few.select("key", F.col("node").alias("a"), F.col("fp").alias("x")), few.select(F.col("key").alias("_key"), F.col("node").alias("b"), F.col("fp").alias("y"))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= FAR
     pairs = written(a.join(b, (F.col("key") == F.col("_key")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct(), "pairs")
-    found, leaders, asked = verified(pairs, texts, shingle, similarity), 2, many.where("rank = 0")
-    while not many.isEmpty():
-        lead = asked.groupBy(F.col("key").alias("_key"), F.pmod(F.xxhash64("node"), F.lit(leaders)).alias("class")).agg(F.min("node").alias("a"))
-        lead = written(lead, "leaders")
-        met = asked.join(lead, asked["key"] == lead["_key"]).groupBy(F.col("node").alias("b"), "class").agg(F.min("a").alias("a"))
-        met = written(met.where("a != b").select("a", "b").distinct(), "met")
-        linked = verified(met, texts, shingle, similarity)
-        found = found.unionByName(linked)
-        done = written(met.select(F.col("a").alias("_node")).unionByName(linked.select(F.col("b").alias("_node"))).distinct(), "done")
-        many = written(many.join(done, many["node"] == done["_node"], "left_anti"), "rest")
-        crowd = written(many.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "crowd")
-        many, leaders = written(many.join(crowd, many["key"] == crowd["_key"], "left_semi"), "rest"), leaders + 2
-        asked = many
-    return found
+    return verified(pairs, texts, shingle, similarity).unionByName(crowded_links(written(crowd, "crowd"), texts, shingle, similarity))
 
 
 def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -268,9 +338,8 @@ def survivors(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Dat
 
     Near copies differ in few words but in many shingles, so candidates come from ``PRINTS`` fingerprints of the distinct
     words, by the same Golay keys, and are verified on the texts. Where more than ``COLD`` nodes share a key, they are
-    not paired: in the most crowded of these keys of each fingerprint, each is compared with two leaders, the least node
-    there of either half (by hash); those that are like neither, and led nobody, with four in the ``FULLEST`` most
-    crowded ones, with six, and so on, until nobody is left. So a large group of near copies ends in a few rounds, each linear in its size.
+    not paired by it: all nodes of such keys are linked by the grams they share (``crowded_links``), which finds the
+    components of every pair of them that is alike enough, with no limit on keys, partners or group sizes.
 
     Defined results for odd input: null, empty and blank texts are one group; null ids as said; an empty table gives no
     rows; all columns are returned as they came, whatever their names."""

@@ -159,6 +159,32 @@ def test_survivors_against_all_pairs(spark):
     assert simhash.survivors(frame.limit(0)).count() == 0
 
 
+def test_links_of_a_crowded_key_against_all_pairs(spark):
+    """Chains of copies, each a few words on from the last, all of the same keys: what hangs together by a link between
+    two that are like no leader is one component, and what is like nothing stays alone."""
+    rng = random.Random(43)
+    texts = []
+    for n, size, steps in ((100, 40, 2), (150, 25, 3), (60, 10, 1), (120, 12, 6)):
+        own = rng.choices(VOCABULARY, k=n)
+        for _ in range(size):
+            texts.append(" ".join(own))
+            at = rng.randrange(n - steps)
+            own = [*own[:at], *(f"new{rng.randrange(10**6)}" for _ in range(steps)), *own[at + steps :]]
+    texts += [" ".join(rng.choices(VOCABULARY, k=rng.randint(1, 30))) for _ in range(10)]
+    rng.shuffle(texts)
+    sets, want = [five_words(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                a, b = want[i], want[j]
+                want = [min(a, b) if r in (a, b) else r for r in want]
+    nodes = written(spark.createDataFrame([(i, [5, 6, 7]) for i in range(len(texts))], "node long, prints array<long>"), "nodes")
+    frame = written(spark.createDataFrame(list(enumerate(texts)), "node long, text string"), "texts")
+    root = {r["node"]: r["root"] for r in components(simhash.similar_links(nodes, frame, 5, 0.8)).collect()}
+    got = [root.get(i, i) for i in range(len(texts))]
+    assert got == want and len(set(want)) < len(texts) - 40
+
+
 # -- passages
 
 
