@@ -4,7 +4,8 @@
   any run of ``K + WINDOW - 1`` equal words has a common seed, and a text gives about two seeds for ``WINDOW`` words.
 * A seed's occurrence in the document of least id stands for all others, so a passage that a million documents share
   gives a million matches, not pairs. Occurrences are sorted by seed, so the representative comes first; those of the
-  most frequent seeds are spread over tasks and join their representatives.
+  most frequent seeds are spread over tasks, and look their representatives up where they are chained.
+* A document with the same text as an earlier one is one passage as a whole, and gives no seeds.
 * Chains: the matches of a document with one representative document are chained in both texts' order. The best chain
   that ends at each match is found in n log n with a Fenwick tree of prefix maxima: a match weighs ``WEIGHT``, a gap
   costs ``GAP_COST`` for each word of either text. Matches over ``MAX_GAP`` words apart in the document are chained
@@ -42,6 +43,8 @@ from loomlog.llm.common import temporary, written
 K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, BLOCK, MARGIN, REACH, NEAR = 5, 6, 16.0, 0.25, 48, 256, 64, 96, 60
 #: Frequent seeds whose occurrences are spread over ``SALTS`` tasks, and chains of a block that one task aligns.
 HOT, SALTS, CROWD = 4096, 64, 1024
+#: Copies of whole texts whose ids are sent to all tasks; more are joined.
+SMALL = 1_000_000
 SPLIT = re.compile(r"\S+")
 
 
@@ -315,6 +318,17 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """``_id, _first``: documents whose whole text an earlier one has (two 64-bit hashes), and the earliest of these. Ids
+    that rows repeat are left out."""
+    marked = _texts(docs).select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    once = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("h").alias("h"), F.first("g").alias("g")).where("n = 1")
+    once = written(once.select(F.col("doc_id").alias("_id"), "h", "g"), "texts")
+    first = once.groupBy(F.col("h").alias("_h"), F.col("g").alias("_g")).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = once.join(first, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))).where("_id != _first")
+    return written(found.select("_id", "_first"), "copies")
+
+
 def lists(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int32()))
 
@@ -354,10 +368,12 @@ def hot_seeds(docs: DataFrame) -> np.ndarray:
     return np.array(sorted(r["seed"] for r in often.orderBy(F.desc("n"), "seed").limit(HOT).collect()), np.int64)
 
 
-def matches(docs: DataFrame) -> DataFrame:
+def matches(docs: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """``doc_id, pos, source, source_pos``: occurrences of seeds with their representatives in other documents. Each
-    seed's occurrences come in order in one task, the representative first; those of hot seeds are spread, and meet
-    their representatives (at most ``HOT``) in a join."""
+    seed's occurrences come in order in one task, the representative first. Those of hot seeds are spread; they have the
+    seed's number below zero (-1, -2, ...) as ``source_pos``, and the two arrays (at most ``HOT`` long) have the document
+    and place of each one's representative."""
+    hot = hot_seeds(docs)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the seed at hand with its representative
@@ -374,28 +390,25 @@ def matches(docs: DataFrame) -> DataFrame:
             last = seed[-1], source[-1], source_pos[-1]
             spread = salt > 0
             take = spread | (doc != source)
-            spread, columns = spread[take], [x[take] for x in (doc, pos, source, source_pos, seed)]
-            masks = [None, None, spread, spread, ~spread]
-            yield pa.RecordBatch.from_arrays([pa.array(x, mask=m) for x, m in zip(columns, masks, strict=True)], names=["doc_id", "pos", "source", "source_pos", "seed"])
+            if spread.any():
+                source, source_pos = np.where(spread, 0, source), np.where(spread, -1 - np.searchsorted(hot, seed), source_pos).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in (doc, pos, source, source_pos)], names=["doc_id", "pos", "source", "source_pos"])
 
-    hot = hot_seeds(docs)
     placed = seeded(docs, hot).repartition("seed", "salt").sortWithinPartitions("seed", "salt", "doc_id", "pos")
-    found = placed.mapInArrow(pair, "doc_id long, pos int, source long, source_pos int, seed long")
-    names = ["doc_id", "pos", "source", "source_pos"]
-    if not len(hot):
-        return found.select(names)
-    found = written(found, "matches")
-    spread = found.where("seed IS NOT NULL").select("seed", "doc_id", "pos")
-    first = spread.groupBy(F.col("seed").alias("_seed")).agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    first = first.select("_seed", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos"))
-    met = spread.join(F.broadcast(first), F.col("seed") == F.col("_seed")).where(F.col("doc_id") != F.col("source"))
-    return found.where("seed IS NULL").select(names).unionByName(met.select(names))
+    found = placed.mapInArrow(pair, "doc_id long, pos int, source long, source_pos int")
+    source, source_pos = np.zeros(len(hot), np.int64), np.zeros(len(hot), np.int64)
+    if len(hot):
+        found = written(found, "matches")
+        first = found.where("source_pos < 0").groupBy("source_pos").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+        for r in first.collect():
+            source[-1 - r["source_pos"]], source_pos[-1 - r["source_pos"]] = r["first"]
+    return found, source, source_pos
 
 
 CHAIN = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("block", pa.int32()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])
 
 
-def chained(found: DataFrame) -> DataFrame:
+def chained(found: DataFrame, hot_source: np.ndarray, hot_pos: np.ndarray) -> DataFrame:
     """``doc_id, source, block, a, b``: chains, cut at the source's blocks, with their seeds' places in both texts.
     Single matches inside a longer chain of the document, with whatever source, go."""
 
@@ -413,9 +426,11 @@ def chained(found: DataFrame) -> DataFrame:
             yield from emit(*held)
 
     def emit(doc: np.ndarray, source: np.ndarray, pos: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
+        pos, other = pos.astype(np.int64), other.astype(np.int64)
+        if (other < 0).any():
+            doc, source, pos, other = looked_up(doc, source, pos, other)
         if not len(doc):
             return
-        pos, other = pos.astype(np.int64), other.astype(np.int64)
         new = doc[1:] != doc[:-1]
         number = np.concatenate([[0], np.cumsum(new)]) << 32  # before a place: orders all places of these documents
         dx, dy = np.diff(pos), np.diff(other)
@@ -462,6 +477,21 @@ def chained(found: DataFrame) -> DataFrame:
             at, heads = np.array([r[0] for r in some]), np.array([r[2][0] for r in some])
             yield batch_of(doc[at], source[at], heads, np.concatenate([r[1] for r in some]), np.concatenate([r[2] for r in some]), np.array([len(r[1]) for r in some]))
 
+    def looked_up(doc: np.ndarray, source: np.ndarray, pos: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The matches with the representatives of hot seeds, in order again, without these themselves."""
+        hot = other < 0
+        which = np.where(hot, -1 - other, 0)
+        source, other = np.where(hot, hot_source[which], source), np.where(hot, hot_pos[which], other)
+        number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
+        touched = np.zeros(number[-1] + 1, bool)
+        touched[number[hot]] = True
+        rows = np.flatnonzero(touched[number])
+        order = rows[np.lexsort((other[rows], pos[rows], source[rows], number[rows]))]
+        every = np.arange(len(doc))
+        every[rows] = order
+        every = every[doc[every] != source[every]]
+        return doc[every], source[every], pos[every], other[every]
+
     def batch_of(doc: np.ndarray, source: np.ndarray, head: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(source), pa.array((head // BLOCK).astype(np.int32)), lists(a, n), lists(b, n)], schema=CHAIN)
 
@@ -472,8 +502,14 @@ def chained(found: DataFrame) -> DataFrame:
 def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:
     """``doc_id, start_word, end_word, n_words, identity, source_doc_id, source_start_word``: a row for each passage
     that a document shares with an earlier one (of a lesser id)."""
+    again = copies(docs)
+    n_again = again.count()
+    if n_again <= SMALL:
+        again = F.broadcast(again)
+    texts = _texts(docs)
     with temporary(docs.sparkSession):
-        found = written(chained(matches(docs)), "chains", keep=True)
+        rest = texts.join(again, texts["doc_id"] == again["_id"], "left_anti") if n_again else texts
+        found = written(chained(*matches(rest)), "chains", keep=True)
     crowds = found.groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(F.count(F.lit(1)).alias("n"))
     crowds = written(crowds.where(F.col("n") > CROWD), "crowds")
     salt = F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / CROWD))).cast("int").alias("salt")
@@ -482,7 +518,6 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
     wanted = found.select(F.col("source").alias("doc_id"), "block", "salt").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("block", "salt")).alias("blocks"))
     asked = own.join(wanted, "doc_id", "full_outer").select(F.col("doc_id").alias("_id"), "chains", "blocks")
     asked = written(asked, "asked")
-    texts = _texts(docs)
     met = texts.join(asked, texts["doc_id"] == asked["_id"]).select("doc_id", "text", "chains", "blocks")
     ints = pa.list_(pa.int32())
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("from", pa.int32()), ("words", pa.binary()), ("a", ints), ("b", ints)])
@@ -637,8 +672,18 @@ def passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) ->
         if rows := done():
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), final.types, strict=True)], schema=final)
 
+    def wholes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array([len(t.as_py().split()) for t in batch.column(1)], np.int32)
+            fine, zero = pa.array((n >= min_words) & (n > 0)), pa.array(np.zeros(len(n), np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), zero, pa.array(n), pa.array(n), pa.array(np.ones(len(n))), batch.column(2), zero], schema=final).filter(fine)
+
+    columns = "doc_id long, start_word int, end_word int, n_words int, identity double, source_doc_id long, source_start_word int"
     ordered = spans.repartition("doc_id").sortWithinPartitions("doc_id", "lo", F.desc("hi"), "source", "source_lo")
-    return ordered.mapInArrow(merged, "doc_id long, start_word int, end_word int, n_words int, identity double, source_doc_id long, source_start_word int")
+    shared = ordered.mapInArrow(merged, columns)
+    if not n_again:
+        return shared
+    return shared.unionByName(texts.join(again, texts["doc_id"] == again["_id"]).select("doc_id", "text", "_first").mapInArrow(wholes, columns))
 
 
 def without_passages(docs: DataFrame, min_words: int = 50, min_identity: float = 0.8) -> DataFrame:

@@ -327,3 +327,24 @@ def test_hot_seeds_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(passages, "hot_seeds", lambda docs: np.unique(seeds))
     monkeypatch.setattr(passages, "CROWD", 5)
     assert len(plain) >= 117 and sorted(map(tuple, passages.passages(docs).collect())) == plain
+
+
+def test_copies_and_hot_seeds_make_no_rows_of_a_join(spark, monkeypatch):
+    """Whole copies are one passage each, give no seeds, and are no sources; those of ids that rows repeat are not taken
+    for copies. No matches of hot seeds come from a join."""
+    rng = random.Random(71)
+    long, short, shared = (" ".join(rng.choices(VOCABULARY, k=n)) for n in (90, 30, 60))
+    part = " ".join([*rng.choices(VOCABULARY, k=40), shared])
+    rows = [(1, shared + " end"), (2, long), (3, part), (4, long), (5, part), (6, short), (7, short), (8, part), (9, long), (9, long), (None, long), (10, None), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(3, 40, 100, 60, 1.0, 1, 0), (4, 0, 90, 90, 1.0, 2, 0), (5, 0, 100, 100, 1.0, 3, 0), (8, 0, 100, 100, 1.0, 3, 0)}
+    seeded, seen = passages.seeded, []
+    monkeypatch.setattr(passages, "seeded", lambda docs, hot: seen.append({r["doc_id"] for r in docs.select("doc_id").collect()}) or seeded(docs, hot))
+    for small in (0, 100):
+        monkeypatch.setattr(passages, "SMALL", small)
+        got = {tuple(r) for r in passages.passages(docs).collect() if r["doc_id"] != 9}
+        assert got == want and not seen[-1] & {4, 5, 7, 8}
+    monkeypatch.setattr(passages, "hot_seeds", lambda docs: np.unique(passages.seeds(passages.word_hashes(shared, passages.Words()))[0]))
+    assert {tuple(r) for r in passages.passages(docs).collect() if r["doc_id"] != 9} == want
+    found = passages.matches(docs)[0]
+    assert found.where("source_pos < 0").count() > 0 and "Join" not in found._jdf.queryExecution().toString()
