@@ -2,11 +2,13 @@
 
 Vectors become integers, floor(scale * x). They are packed into blocks of a fixed number of rows; a block carries its
 vectors and, apart, an approximation: each component's cell number on a grid of 256 cells between the block's least and
-greatest value in that dimension. Query blocks meet every candidate block (the query set is the stated one); the join is
-on the candidate block's number, so a task holds one pair of blocks at a time. For a pair, one product of the queries
-with the cell numbers gives a lower and an upper bound of every score. Then exact vectors are read in the order of their
-upper bounds until no unread vector's bound reaches the query's k-th best score. What remains of each pair, k rows a
-query, is merged by a top-k over the blocks, again without a large group: k rows for each query and candidate block.
+greatest value in that dimension. Candidate blocks are dealt to parts, and the query blocks (the query set is the stated
+one) are sent once to each part; both are as narrow integers as hold them. Parts are so few that no more query rows are
+sent than there are candidates. A part has its query blocks first, in chunks of at most ``HELD`` bytes, and then meets one
+candidate block at a time, so nothing grows with the product of the two tables but the arithmetic, and nothing passes the
+driver. For a pair of blocks, one product of the queries with the cell numbers gives an upper bound of every score; exact
+vectors are read only where the bound reaches the query's k-th best score of the part so far. What remains of each part,
+k rows a query, is merged by a top-k over the parts.
 
 Defined results for odd input: vectors that are null, empty, or hold a null, NaN or infinite component take no part, nor
 do rows with a null id. Only vectors of the same length are compared. A candidate with the query's own id is skipped, so
@@ -21,11 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 CELLS = 256
+#: Bytes of query vectors (as doubles) that a task holds, and scores that are merged at once.
+HELD, MERGED = 1 << 26, 1 << 18
 EXACT = 2**53
 LONG = 2**63 - 1
 
@@ -40,6 +45,14 @@ def integers(flat: np.ndarray, scale: float) -> np.ndarray:
     return np.floor(flat * scale)
 
 
+def narrow(row: dict) -> dict:
+    """The row with its vectors in the narrowest type that holds them."""
+    x = np.frombuffer(row["vectors"])
+    most = np.abs(x).max(initial=0)
+    kind = "<i2" if most < 2**15 else "<i4" if most < 2**31 else "<f8"
+    return row | {"kind": kind, "vectors": x.astype(kind).tobytes()}
+
+
 def pack(pdf: pd.DataFrame, scale: float) -> dict:
     """A block's row: ids, integer vectors as doubles, and the approximation with its grid."""
     x = integers(np.array(pdf["vector"].tolist(), dtype=np.float64), scale)
@@ -84,14 +97,61 @@ def top_of_pair(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, least:
     return found
 
 
+class Best:
+    """The k best of a query block's queries so far: rows ``q, score, id`` in order, and each query's k-th score."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.k = ids, vectors, k
+        self.q, self.score, self.id = (np.empty(0, np.int64) for _ in range(3))
+        self.least = np.full(len(ids), -np.inf)
+
+    def merge(self, q: np.ndarray, score: np.ndarray, id_: np.ndarray) -> None:
+        q, score, id_ = (np.concatenate(x) for x in ((self.q, q), (self.score, score), (self.id, id_)))
+        order = np.lexsort((id_, ~score, q))  # highest scores first, a long's ends too
+        q, score, id_ = q[order], score[order], id_[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        some, last = rank < self.k, rank == self.k - 1
+        self.q, self.score, self.id = q[some], score[some], id_[some]
+        self.least[q[last]] = score[last]
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, least: np.ndarray, width: np.ndarray) -> None:
+        """Takes what a candidate block has."""
+        size = np.abs(self.vectors).sum(axis=1) * (np.abs(least).max(initial=0) + CELLS * width.max(initial=1))
+        for i in np.flatnonzero(size >= EXACT).tolist():  # beyond whole doubles: one by one
+            for _, id_, score in top_of_pair(ids, vectors, cells, least, width, self.ids[i : i + 1], self.vectors[i : i + 1], self.k):
+                self.merge(np.full(len(id_), i), score, id_)
+        rows = np.flatnonzero(size < EXACT)
+        if not len(rows):
+            return
+        queries, own = self.vectors[rows], self.ids[rows]
+        upper = (queries * width) @ cells.astype(np.float64).T + (queries @ least + np.maximum(queries, 0) @ (width - 1.0))[:, None]
+        other = ids != own[:, None]
+        new = np.flatnonzero(np.isinf(self.least[rows]))
+        floor = self.least[rows]
+        if len(new) and len(ids) > self.k:  # no k-th score yet: the k-th lower bound
+            lower = np.where(other[new], upper[new] - (np.abs(queries[new]) @ (width - 1.0))[:, None], -np.inf)
+            floor[new] = np.partition(lower, len(ids) - self.k, axis=1)[:, -self.k]
+        near = other & (upper >= floor[:, None])
+        count = np.cumsum(near.sum(axis=1))
+        begin = 0
+        while begin < len(rows):  # as many queries at once as have few enough candidates, one at least
+            end = max(begin + 1, int(np.searchsorted(count, (count[begin - 1] if begin else 0) + MERGED, "right")))
+            q, c = np.nonzero(near[begin:end])
+            score = np.concatenate([np.einsum("ij,ij->i", queries[begin + q[i : i + MERGED]], vectors[c[i : i + MERGED]]) for i in range(0, len(q), MERGED)] or [np.empty(0)])
+            self.merge(rows[begin + q], score.astype(np.int64), ids[c])
+            begin = end
+
+
 def _blocks(rows: DataFrame, size: int, scale: float, dims: bool = True) -> DataFrame:
     """Rows ``id, vector, block`` to packed blocks. A block is a hash slice of about ``size`` rows, so its group is
     bounded; the hash takes the vector too, so that repeated ids do not gather."""
 
+    names = ("dim", "block", "ids", "kind", "vectors", "cells", "least", "width")
+
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"dim": key[0], "block": key[1]} | pack(pdf, scale)])
+        return pd.DataFrame([{"dim": key[0], "block": key[1]} | narrow(pack(pdf, scale))])[list(names)]
 
-    schema = "dim int, block int, ids binary, vectors binary, cells binary, least binary, width binary"
+    schema = "dim int, block int, ids binary, kind string, vectors binary, cells binary, least binary, width binary"
     return rows.groupBy("dim", "block").applyInPandas(packed, schema)
 
 
@@ -99,25 +159,45 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: float =
     """``candidates`` and ``queries``: ``id long, vector array``. Returns ``query_id, rank, vec_id, score``."""
     rows = candidates.where(F.col("id").isNotNull() & usable(F.col("vector"))).select("id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"))
     asked = queries.where(F.col("id").isNotNull() & usable(F.col("vector"))).select("id", F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("dim"))
-    counts = max(1, -(-rows.count() // block_rows))
-    asked_blocks = max(1, -(-asked.count() // (block_rows // 4)))
+    n, n_asked, asked_rows = rows.count(), asked.count(), max(1, block_rows // 4)
+    counts, asked_blocks = max(1, -(-n // block_rows)), max(1, -(-n_asked // asked_rows))
+    parts = min(counts, max(16, n // max(1, n_asked)))
     ordinal = F.pmod(F.xxhash64("id", "vector", F.monotonically_increasing_id()), F.lit(counts)).cast("int")
     blocks = _blocks(rows.withColumn("block", ordinal), block_rows, scale)
-    asked = _blocks(asked.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(asked_blocks)).cast("int")), block_rows // 4, scale)
-    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(counts - 1))).alias("block"))
-    pairs = blocks.join(asked, ["dim", "block"])
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples():
-                d = r.dim
-                shaped = lambda b, kind=np.float64: np.frombuffer(b, kind).reshape(-1, d)  # noqa: B023, E731
-                found = top_of_pair(np.frombuffer(r.ids, np.int64), shaped(r.vectors), shaped(r.cells, np.uint8), np.frombuffer(r.least), np.frombuffer(r.width), np.frombuffer(r.q_ids, np.int64), shaped(r.q_vectors), k)
-                if found:
-                    a, b, c = map(np.concatenate, zip(*found, strict=True))
-                    yield pd.DataFrame({"query_id": a, "vec_id": b, "score": c})
-
-    local = pairs.mapInPandas(search, "query_id long, vec_id long, score long")
+    asked = _blocks(asked.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(asked_blocks)).cast("int")), asked_rows, scale)
+    a_chunk = F.greatest(F.lit(1), F.floor(F.lit(HELD) / (8 * asked_rows * F.col("dim")))).cast("int")  # query blocks
+    data = ("ids", "kind", "vectors", "cells", "least", "width")
+    none = F.lit(None).cast("binary")
+    asked = asked.select("dim", F.floor(F.col("block") / a_chunk).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(0).alias("side"), "block", *data[:3], *(none.alias(c) for c in data[3:]))
+    chunks = F.sequence(F.lit(0), F.floor(F.lit(asked_blocks - 1) / a_chunk).cast("int"))
+    blocks = blocks.select("dim", F.explode(chunks).alias("chunk"), F.pmod("block", F.lit(parts)).alias("part"), F.lit(1).alias("side"), "block", *data)
+    place = ("dim", "chunk", "part")
+    dealt = blocks.unionByName(asked).repartition(*place).sortWithinPartitions(*place, "side", "block")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Best] = []
+        at = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for best in held:
+                if len(best.q):
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (best.ids[best.q], best.id, best.score)], names=["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for i in range(len(batch)):
+                dim, chunk, part, side, _, ids, kind, vectors, cells, least, width = (c[i].as_py() for c in batch.columns)
+                if at != (dim, chunk, part):
+                    yield from done()
+                    held, at = [], (dim, chunk, part)
+                ids, vectors = np.frombuffer(ids, np.int64), np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64)
+                if not side:
+                    held.append(Best(ids, vectors, k))
+                    continue
+                for best in held:
+                    best.meet(ids, vectors, np.frombuffer(cells, np.uint8).reshape(-1, dim), np.frombuffer(least), np.frombuffer(width))
+        yield from done()
+
+    local = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     best_first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -230,6 +230,35 @@ def test_search_against_sql(spark):
     assert vector_search.top_k(ids.limit(0), ids.limit(0)).count() == 0
 
 
+def test_queries_are_not_sent_to_every_block(spark, monkeypatch):
+    """Query blocks go to as many parts as there are candidates for each query, not to each candidate block, and are
+    never broadcast; chunks, ties, repeated ids and scores beyond whole doubles change nothing."""
+    rng = np.random.default_rng(5)
+    vectors = [(i % 1900, np.round(rng.normal(size=4), 1).astype(float).tolist()) for i in range(2000)]
+    vectors += [(3000 + i, [0.5] * 4) for i in range(60)] + [(4000 + i, [float(rng.integers(-(2**20), 2**20))] * 4) for i in range(50)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    ids = frame.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    want = duck(OP10_SQL, embeddings=frame.toPandas())
+    key = ["query_id", "rank", "vec_id", "score"]
+    plans = []
+    for held in (1, 1 << 26):
+        monkeypatch.setattr(vector_search, "HELD", held)
+        monkeypatch.setattr(vector_search, "MERGED", 50)
+        out = vector_search.top_k(ids, ids.where("id % 50 = 0"), block_rows=16)
+        plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+        got = out.toPandas()
+        assert got[key].sort_values(key).values.tolist() == want[key].sort_values(key).values.tolist()
+    assert not any("Join" in p for p in plans)
+    one = vector_search.Best(np.array([7]), np.array([[2.0**40, 1.0]]), 2)
+    x = np.array([[2.0**40, 3.0], [2.0**40, 5.0], [-(2.0**40), 1.0], [2.0**40, 3.0]])
+    import pandas as pd
+
+    row = vector_search.pack(pd.DataFrame({"id": [1, 2, 3, 0], "vector": list(x)}), 1.0)
+    shaped = lambda k, kind=np.float64: np.frombuffer(row[k], kind)
+    one.meet(shaped("ids", np.int64), x, shaped("cells", np.uint8).reshape(-1, 2), shaped("least"), shaped("width"))
+    assert one.score.tolist() == [2**63 - 1] * 2 and one.id.tolist() == [0, 1]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     import pandas as pd
