@@ -8,8 +8,9 @@ distinct first (after folding a host has few), partial wrappers are made in slic
 into the host's wrapper, so no task holds a host's pages.
 
 Each text slot of the wrapper is judged once, by the region it is in. A page is matched with its host's wrapper, and
-the texts that fell into content slots make its text. A page that does not match (its host is unknown, or its structure
-is ambiguous beyond a time limit) is judged by the same rule directly, slot by slot.
+the texts that fell into content slots make its text. Where the library's matching takes too long, all ways through the
+expression are followed side by side instead, which takes the one it would have taken, in bounded time. For a page whose
+wrapper gives no result all the same, ``failure`` says why; its text is what the rule for slots makes of the page alone.
 
 Defined results for odd input: null or empty html gives an empty text; a null or unreadable url is a host of its own;
 unclosed, misnested and unknown tags are allowed; rows that repeat are extracted each; an empty table gives no rows;
@@ -208,7 +209,12 @@ class Wrapper:
         self.code = {s: chr(0xE000 + i) for i, s in enumerate(dict.fromkeys(["#", *flat]))}
         self.root, self.region, self.groups = root_of(flat), None, 0
         self.region = Region(self.root)
-        self.pattern = regex.compile(self._compiled(expression), regex.V0)
+        self.program: list[tuple] = []  # (symbol, whether its place is content) or (None, first choice, second choice)
+        pattern = self._compiled(expression)
+        try:
+            self.pattern = regex.compile(pattern, regex.V0)
+        except regex.error:  # too large for the library
+            self.pattern = None
 
     def _flatten(self, expression: list, out: list[str]) -> None:
         for x in expression:
@@ -221,39 +227,87 @@ class Wrapper:
         parts = []
         for x in expression:
             if isinstance(x, list):
-                before = list(self.region.stack)
+                before, at = list(self.region.stack), len(self.program)
+                if x[0] != "+":
+                    self.program.append(())
                 body = self._compiled(x[1])
+                if x[0] == "+":
+                    self.program.append((None, at, len(self.program) + 1))
+                else:
+                    if x[0] == "*":
+                        self.program.append((None, at, at))
+                    self.program[at] = (None, at + 1, len(self.program))
                 # what a group opens and leaves open doesn't reach beyond it; what a repeated group closes is closed
                 self.region.stack = self.region.stack[: len(before)] if x[0] == "+" else before
                 parts.append(f"(?:{body}){x[0]}")
             elif x == "#":
                 self.groups += self.region.kept
+                self.program.append((x, self.region.kept))
                 parts.append(f"({self.code['#']})" if self.region.kept else self.code["#"])
             else:
                 self.region.move(x)
+                self.program.append((x, False))
                 parts.append(self.code[x])
         return "".join(parts)
 
-    def content(self, symbols: list[str]) -> set[int] | None:
+    def content(self, symbols: list[str], seconds: float = 0.25) -> set[int] | None:
         """Places of the texts in content slots, or None where the page does not match."""
-        try:
-            coded = "".join([self.code[s] for s in symbols])
-            m = self.pattern.fullmatch(coded, timeout=0.25)
-        except (KeyError, TimeoutError):
+        if any(s not in self.code for s in symbols):
             return None
+        if self.pattern is None:
+            return self.content_by_steps(symbols)
+        try:
+            m = self.pattern.fullmatch("".join([self.code[s] for s in symbols]), timeout=seconds)
+        except TimeoutError:
+            return self.content_by_steps(symbols)
         return {a for g in range(1, self.groups + 1) for a, _ in m.spans(g)} if m else None
 
+    def content_by_steps(self, symbols: list[str]) -> set[int] | None:
+        """The same, in time of at most the product of the lengths of page and expression: of the ways that have come
+        to the same place of the expression only the first in the library's order goes on."""
+        program, end = self.program, len(self.program)
+
+        def enter(at: int, kept: tuple | None, ways: list, seen: set[int]) -> None:
+            todo = [at]
+            while todo:
+                at = todo.pop()
+                if at in seen:
+                    continue
+                seen.add(at)
+                if at < end and program[at][0] is None:
+                    todo += [program[at][2], program[at][1]]
+                else:
+                    ways.append((at, kept))
+
+        ways: list[tuple[int, tuple | None]] = []
+        enter(0, None, ways, set())
+        for i, s in enumerate(symbols):
+            after, seen = [], set()
+            for at, kept in ways:
+                if at < end and program[at][0] == s:
+                    enter(at + 1, (i, kept) if program[at][1] else kept, after, seen)
+            ways = after
+        for at, kept in ways:
+            if at == end:
+                found = set()
+                while kept:
+                    found.add(kept[0])
+                    kept = kept[1]
+                return found
+        return None
+
 
 @lru_cache(256)
 def compiled(expression: str) -> Wrapper | None:
-    """The wrapper of an expression; none where it is too deep or too large to compile."""
+    """The wrapper of an expression; none where it is too deep."""
     try:
         return Wrapper(json.loads(expression))
-    except (regex.error, RecursionError):
+    except RecursionError:
         return None
 
 
 def by_rule(symbols: list[str]) -> set[int]:
+    """Places of the texts that the rule for slots keeps on a page alone."""
     region, kept = Region(root_of(symbols)), set()
     for i, s in enumerate(symbols):
         if s == "#":
@@ -266,14 +320,20 @@ def by_rule(symbols: list[str]) -> set[int]:
 
 def extract(page: str, wrappers_: dict[str, str] | None = None) -> tuple[str, bool]:
     """The page's text, and whether a wrapper gave it."""
+    text, failure = extracted(page, wrappers_)
+    return text, failure is None
+
+
+def extracted(page: str, wrappers_: dict[str, str] | None = None) -> tuple[str, str | None]:
+    """The page's text, and why no wrapper gave it where none did."""
     stream = list(tokens(page))
     symbols = [s for s, _ in stream]
     expression = (wrappers_ or {}).get(root_of(symbols) or "")
     wrapper = compiled(expression) if expression else None
-    kept = wrapper.content(symbols) if wrapper else None
-    by_wrapper = kept is not None
+    kept, failure = wrapper.content(symbols) if wrapper else None, None
     if kept is None:
-        kept, by_wrapper = by_rule(symbols), False
+        failure = "no wrapper" if not expression else "wrapper too deep" if not wrapper else "no match"
+        kept = by_rule(symbols)
     blocks, own = [], []
     for i, (s, text) in enumerate(stream):
         if s == "#":
@@ -283,7 +343,7 @@ def extract(page: str, wrappers_: dict[str, str] | None = None) -> tuple[str, bo
             blocks.append("".join(own))
             own = []
     blocks.append("".join(own))
-    return "\n".join(t for t in (" ".join(html.unescape(b).split()) for b in blocks) if t), by_wrapper
+    return "\n".join(t for t in (" ".join(html.unescape(b).split()) for b in blocks) if t), failure
 
 
 def host(url: F.Column) -> F.Column:
@@ -328,15 +388,16 @@ def wrappers(pages: DataFrame, slices: int = 16) -> DataFrame:
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars, by_wrapper`` for every row of ``pages`` (``page_id, url, html``)."""
+    """``page_id, url, text, n_chars, by_wrapper, failure`` for every row of ``pages`` (``page_id, url, html``); ``failure``
+    is null where the wrapper gave the text, else why it did not."""
     inferred = written(wrappers(pages), "wrappers").select(F.col("host").alias("_host"), "wrappers")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host"))
     rows = rows.join(inferred, rows["host"] == inferred["_host"]).select("page_id", "url", "html", "wrappers")
 
     def pull(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [extract(page.as_py(), dict(w)) for page, w in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
+            got = [extracted(page.as_py(), dict(w)) for page, w in zip(batch.column(2), batch.column(3).to_pylist(), strict=True)]
             texts = [t for t, _ in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([b for _, b in got], pa.bool_())], names=["page_id", "url", "text", "n_chars", "by_wrapper"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([f is None for _, f in got], pa.bool_()), pa.array([f for _, f in got], pa.string())], names=["page_id", "url", "text", "n_chars", "by_wrapper", "failure"])
 
-    return rows.mapInArrow(pull, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
+    return rows.mapInArrow(pull, "page_id long, url string, text string, n_chars long, by_wrapper boolean, failure string")

@@ -1,6 +1,7 @@
 """Quality, extraction, media, mixing, search."""
 
 import hashlib
+import json
 import random
 import zlib
 
@@ -119,6 +120,24 @@ def test_rules(source, text):
 # -- media
 
 
+def test_a_failure_is_told_and_time_decides_nothing():
+    expression = [["+", [["?", ["p", "#", "/p"]], ["*", ["div", "#", "/div"]]]], ["?", ["nav", "#", "/nav"]], ["+", ["p", ["?", ["#"]], "/p"]]]
+    wrapper, rng = html_extract.Wrapper(expression), random.Random(3)
+    matched = 0
+    for _ in range(300):
+        symbols = [s for _ in range(rng.randint(0, 7)) for s in rng.choice((["p", "#", "/p"], ["p", "/p"], ["div", "#", "/div"], ["nav", "#", "/nav"]))]
+        want = wrapper.content(symbols, 60)
+        assert wrapper.content_by_steps(symbols) == want
+        matched += want is not None
+    assert 20 < matched < 280
+    hard = html_extract.Wrapper([["+", [["+", ["p"]], ["?", ["p"]]]], "#"])  # a backtracking matcher has no end with it
+    assert hard.content(["p"] * 60 + ["#"]) == {60} and hard.content(["p"] * 60) is None
+    page = "<p>one</p><div>two</div>"
+    assert html_extract.extracted(page)[1] == "no wrapper"
+    assert html_extract.extracted(page, {"": json.dumps(["p", "#", "/p"])}) == ("one\ntwo", "no match")
+    assert html_extract.extracted(page, {"": json.dumps(html_extract.structure(page))}) == ("one\ntwo", None)
+
+
 def test_media(spark, tmp_path):
     rows = [(1, "é" * 400), (2, ""), (None, None), (3, "x" * 576), (3, "x" * 576), (4, "y" * 100_000)]
     docs = spark.createDataFrame([(*r, b"m") for r in rows], "doc_id long, text string, media binary")
